@@ -1,0 +1 @@
+"""peregrin.streaming"""
