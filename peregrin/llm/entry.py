@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP8_SQL, op8_event_sourced_chat
+from .pieces import op10_offset_pieces
 from .quality import op7_divergence_rules
 from .sharding import op4_byte_prefix_shards
+from .token_files import op1_rans_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_byte_prefix_shards, op7_divergence_rules, op8_event_sourced_chat)}
+    return {f.__name__: f for f in (op1_rans_token_files, op4_byte_prefix_shards, op7_divergence_rules, op8_event_sourced_chat, op10_offset_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
