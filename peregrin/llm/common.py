@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,16 +65,21 @@ def schema(text: str) -> T.StructType:
     return T._parse_datatype_string(text)
 
 
-class WordHashes(dict):
-    """Bytes of a word to its 64-bit hash; forgets all once it holds `most` words, so memory stays bounded."""
-
-    def __init__(self, most: int = 400_000):
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+def word_hashes(col: pa.Array, strip: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts: the 64-bit hashes of all their words, A-Z lower-cased, end to end; and where each text starts (and the end).
+
+    strip: characters taken off both ends of each word; a word of nothing else is none.
+    """
+    import xxhash
+
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(col.cast(pa.string())))
+    lens = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    words = lists.flatten().dictionary_encode()
+    kinds = words.dictionary.to_pylist()
+    if strip:
+        kinds = [w.strip(strip) for w in kinds]
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) if w else 0 for w in kinds), np.uint64, len(kinds))
+    which = words.indices.to_numpy()
+    real = np.fromiter(map(bool, kinds), bool, len(kinds))[which]
+    before = np.concatenate([[0], np.cumsum(real)])
+    return hashes[which[real]], before[np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)]

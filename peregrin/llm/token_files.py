@@ -1,8 +1,8 @@
 """Operator 1, token ids as binary files: static range asymmetric numeral system (rANS).
 
-Two passes over the texts. The first counts ids over all documents; the counts, scaled to 2**20, are the frequency table
-that all blocks share. The second sorts documents by id over range partitions, tokenises again (cheaper than keeping
-ids: chunks that end where the pre-tokeniser must cut are encoded once and remembered) and encodes blocks.
+Documents are sorted by id over range partitions, tokenised (chunks that end where the pre-tokeniser must cut are
+encoded once and remembered) and staged as blocks of plain ids. Counts of ids over all blocks, scaled to 2**20, are the
+frequency table that all blocks share; a map over the staged blocks then encodes each.
 
 A block holds whole documents, about BLOCK ids, and stands alone: LANES interleaved coders work on ids i % LANES, so that
 numpy codes a whole step at once; every EVERY steps a checkpoint keeps all coder states, the place in the stream
@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, parts, schema, texts
+from .common import drop_shuffles, fresh_path, parts, schema, staged, texts
 
 BITS, LOW, LANES, EVERY, BLOCK = 20, 1 << 31, 512, 128, 1 << 17
 _MAGIC, _HEAD = b"PRANS\x00\x01\x00", struct.Struct("<8sQIIII")
@@ -36,33 +37,83 @@ class Chunked:
     """Encodes texts with a tokenizers file whose pre-tokeniser is the byte-level one without prefix space.
 
     That one always cuts before a single space that a visible character follows, so texts are split there, and each
-    chunk is encoded once while remembered. Memory stays bounded: all is forgotten at `most` chunks.
+    distinct chunk is encoded once while remembered. Two generations of at most `most` chunks are kept: a chunk
+    that is not met again during one generation is forgotten, so memory stays bounded.
     """
 
     #: Only where these follow is a space sure to start a chunk: visible ASCII and Latin letters.
-    _CUT, _ODD = re.compile(" (?=[!-~¡-ɏ])"), re.compile(" (?![!-~¡-ɏ])")
+    LONG = 12
+    _CUT, _ODD = re.compile(" (?=[!-~¡-ɏ])"), " [^!-~¡-ɏ]| $"
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.most, self.first, self.rest = most, {}, {}
-
-    def _learn(self, chunks: set[str], memo: dict[str, bytes], lead: str) -> None:
-        if len(memo) + len(chunks) > self.most:
-            memo.clear()
-        new = [c for c in chunks if c not in memo]
-        for c, e in zip(new, self.tok.encode_batch([lead + c for c in new], add_special_tokens=False), strict=True):
-            memo[c] = np.asarray(e.ids, "<u4").tobytes()
-
-    def __call__(self, batch: list[str]) -> Iterator[np.ndarray]:
-        for i in range(0, len(batch), 64):
-            split = [self._CUT.split(t) if self._ODD.search(t) else t.split(" ") for t in batch[i : i + 64]]
-            self._learn({s[0] for s in split}, self.first, "")
-            self._learn(set().union(*(s[1:] for s in split)), self.rest, " ")
-            for s in split:
-                yield np.frombuffer(self.first[s[0]] + b"".join(map(self.rest.__getitem__, s[1:])), "<u4")
+        self.most, self.young, self.old = most, {}, {}
+        self.leads = np.zeros(self.tok.get_vocab_size(), bool)
+        self.leads[[i for t, i in self.tok.get_vocab().items() if t[:1] == "\u0120"]] = True  # how the vocabulary writes a space
+
+    def _each(self, chunks: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _after_space(self, words: list[str]) -> list[bytes]:
+        """The ids of " " + word, for distinct words. Words of over LONG characters seldom return and aren't kept."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = [w for w in words if w not in young]
+        if old:
+            young.update((w, old[w]) for w in new if w in old)
+            new = [w for w in new if w not in old]
+        plain = [w for w in new if w and " " not in w]
+        passing = {}
+        if plain:  # a space starts each of these and stands nowhere else: one call encodes them all
+            ids = np.asarray(self._whole(" " + " ".join(plain)), "<u4")
+            at = np.flatnonzero(self.leads[ids])
+            if len(at) != len(plain):
+                raise ValueError("this vocabulary doesn't cut before spaces")
+            data, at = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+            for w, s, e in zip(plain, at, at[1:], strict=False):
+                (young if len(w) <= self.LONG else passing)[w] = data[s:e]
+        new = [w for w in new if not w or " " in w]
+        passing.update(zip(new, self._each([" " + w for w in new]), strict=True))
+        if not passing:
+            return list(map(young.__getitem__, words))
+        return [passing[w] if w in passing else young[w] for w in words]
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _join(self, words: pa.Array, at: np.ndarray) -> list[np.ndarray]:
+        """The ids of texts whose words stand at at[i] to at[i + 1]; all but the first of a text follow a space."""
+        firsts = self._each(words.take(pa.array(at[:-1])).to_pylist())
+        coded = words.dictionary_encode()
+        kinds = self._after_space(coded.dictionary.to_pylist()) + firsts
+        which = coded.indices.to_numpy().astype(np.int64)
+        which[at[:-1]] = len(coded.dictionary) + np.arange(len(firsts))
+        lens = np.fromiter(map(len, kinds), np.int64, len(kinds)) // 4
+        starts, n = np.cumsum(lens) - lens, lens[which]
+        ends = np.cumsum(n)
+        ids = np.frombuffer(b"".join(kinds), "<u4")[np.repeat((starts[which] - ends + n).astype(np.int32), n) + np.arange(int(ends[-1]), dtype=np.int32)]
+        return np.split(ids, ends[at[1:-1] - 1])
+
+    def __call__(self, col: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        col = col.cast(pa.string()) if len(col) else col
+        odd = pc.match_substring_regex(col, self._ODD).to_numpy(zero_copy_only=False)
+        out: list[np.ndarray | None] = [None] * len(col)
+        for where, lists in ((np.flatnonzero(~odd), None), (np.flatnonzero(odd), self._CUT)):
+            if len(where):
+                some = col.take(pa.array(where))
+                lists = pa.array([lists.split(t) for t in some.to_pylist()], pa.list_(pa.string())) if lists else pc.split_pattern(some, " ")
+                for i, ids in zip(where, self._join(lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])), strict=True):
+                    out[i] = ids
+        return out
+
+
+#: A worker process keeps what it has learned for the tasks to come.
+_LEARNED: dict[str, Chunked] = {}
 
 
 def scaled(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -156,53 +207,68 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     text, equal rows stay twice. An empty table makes an empty table and no blocks.
     """
     spark = docs.sparkSession
-    d = texts(docs)
+
+    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, enc = TaskContext.get().partitionId(), _LEARNED.setdefault(vocabulary, None) or Chunked(vocabulary)
+        _LEARNED[vocabulary] = enc
+        block = first = n = 0
+        held: list[np.ndarray] = []
+        keys: list[int] = []
+        lens: list[int] = []
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                some = b.slice(at, 1024)
+                for key, got in zip(some.column("doc_id").to_pylist(), enc(some.column("text")), strict=True):
+                    held += [got, end]
+                    keys.append(_NULL if key is None else key)
+                    lens.append(len(got) + 1)
+                    n += len(got) + 1
+                    if n >= BLOCK:
+                        yield _row(part, block, first, n, np.array(keys, "<i8").tobytes(), np.array(lens, "<i8").tobytes(), np.concatenate(held).astype(kind).tobytes())
+                        block, first, n = block + 1, first + n, 0
+                        held, keys, lens = [], [], []
+        if keys:
+            yield _row(part, block, first, n, np.array(keys, "<i8").tobytes(), np.array(lens, "<i8").tobytes(), np.concatenate(held).astype(kind).tobytes())
+
+    end = np.array([end_id], np.uint32)
+    kind = "<u2" if max(Chunked(vocabulary).tok.get_vocab_size(), end_id) <= 1 << 16 else "<u4"
+    ordered = texts(docs).repartitionByRange(parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    raw = staged(ordered.mapInArrow(tokenise, schema(_BLOCKS)), "raw-tokens")
+    del ordered
+    drop_shuffles(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, n = Chunked(vocabulary), np.zeros(1 << 16, np.int64)
+        n = np.zeros(1 << 16, np.int64)
         for b in batches:
-            for ids in enc(b.column("text").to_pylist()):
-                if len(ids):
-                    if ids.max() >= len(n):
-                        n = np.concatenate([n, np.zeros(int(ids.max()) + 1, np.int64)])
-                    n += np.bincount(ids, minlength=len(n))
-                n[end_id] += 1
+            for x in b.column("payload"):
+                got = np.bincount(np.frombuffer(x.as_py(), kind), minlength=len(n))
+                got[: len(n)] += n
+                n = got
         seen = np.nonzero(n)[0]
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[seen])], names=["id", "n"])
 
-    counts = d.select("text").mapInArrow(count, schema("id long, n long")).groupBy("id").agg(F.sum("n").alias("n"))
+    counts = raw.select("payload").mapInArrow(count, schema("id long, n long")).groupBy("id").agg(F.sum("n").alias("n"))
     ids, freq = scaled({r.id: r.n for r in counts.collect()})  # a row an id of the vocabulary
     spark.createDataFrame([(ids.tolist(), freq.astype(np.int64).tolist())], "ids array<long>, freq array<long>").coalesce(1).write.parquet(f"{path}/table")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        table = Table(ids, freq)
+        for b in batches:
+            for i in range(b.num_rows):
+                row = [b.column(c)[i].as_py() for c in _NAMES]
+                yield _row(*row[:-1], encode_block(np.frombuffer(row[-1], kind).astype(np.uint32), table))
 
-        part, enc, table = TaskContext.get().partitionId(), Chunked(vocabulary), Table(ids, freq)
-        end = np.array([end_id], np.uint32)
-        block = first = n = 0
-        held: list[np.ndarray] = []
-        keys: list[int] = []
-        lens: list[int] = []
+    raw.mapInArrow(encode, schema(_BLOCKS)).write.option("compression", "none").parquet(f"{path}/blocks")
 
-        def flush() -> pa.RecordBatch:
-            row = (part, block, first, n, np.array(keys, "<i8").tobytes(), np.array(lens, "<i8").tobytes(), encode_block(np.concatenate(held), table))
-            return pa.RecordBatch.from_pylist([dict(zip(("part", "block", "first", "n_tokens", "doc_ids", "doc_lens", "payload"), row, strict=True))], schema=_arrow())
 
-        for b in batches:
-            col = b.column("text").to_pylist()
-            for key, got in zip(b.column("doc_id").to_pylist(), enc(col), strict=True):
-                held += [got, end]
-                keys.append(np.iinfo(np.int64).min if key is None else key)
-                lens.append(len(got) + 1)
-                n += len(got) + 1
-                if n >= BLOCK:
-                    yield flush()
-                    block, first, n = block + 1, first + n, 0
-                    held, keys, lens = [], [], []
-        if keys:
-            yield flush()
+_NULL = -(2**63)
+_NAMES = ("part", "block", "first", "n_tokens", "doc_ids", "doc_lens", "payload")
+
 
-    d.repartitionByRange(parts(spark), "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, schema(_BLOCKS)).write.option("compression", "none").parquet(f"{path}/blocks")
+def _row(*values: object) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([dict(zip(_NAMES, values, strict=True))], schema=_arrow())
 
 
 def _arrow() -> pa.Schema:
@@ -226,7 +292,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 got = decode_block(row["payload"], table).astype(np.int32)
                 keys, lens = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["doc_lens"], "<i8")
                 ends = np.cumsum(lens)
-                key = pa.array(keys, mask=keys == np.iinfo(np.int64).min)
+                key = pa.array(keys, mask=keys == _NULL)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(got))
                 yield pa.RecordBatch.from_arrays([key, pa.array(offsets[row["part"]] + row["first"] + ends - lens), pa.array(lens), lists], names=["doc_id", "start", "n_tokens", "ids"])
 
