@@ -7,8 +7,9 @@
    prior) that its similarity reaches the threshold falls below `miss`; survivors are compared exactly on their full sets.
 4. Pairs are never all pairs of a bucket. First each class is compared with one centre of each of its buckets, the
    smallest, then with the best linked one; what is linked by then is one component. Only then do classes of *different*
-   components that share a bucket meet. So no link between components is lost, and a large group of near copies costs links in
-   proportion to its size.
+   components that share a bucket meet, and of these only pairs whose similarity can reach the threshold: no pair shares
+   more than the shingles of either side that some other class left has too. So no link between components is lost, and a
+   large group of near copies emits pairs about in proportion to its links.
 
 Bands lose a link at the threshold with chance (1 - t**ROWS)**BANDS: 5e-11 at 0.85, 5e-8 at 0.8.
 Shingle sets are built again for the classes in shared buckets alone, as sorted 64-bit hashes.
@@ -107,6 +108,21 @@ def _sets(wanted: DataFrame) -> DataFrame:
     return wanted.mapInArrow(run, schema("v long, set binary"))
 
 
+def _own(sets: DataFrame) -> DataFrame:
+    """(v, set) to (v, n, shared): its shingles, and those that another v has too. Both null for an id with several sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for v, s in zip(b.column("v").to_pylist(), b.column("set").to_pylist(), strict=True):
+                h = np.frombuffer(s, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), v)), pa.array(h)], names=["v", "h"])
+
+    alone = sets.mapInArrow(run, schema("v long, h long")).groupBy("h").agg(F.count("*").alias("k"), F.min("v").alias("v")).where("k = 1").groupBy("v").agg(F.count("*").alias("alone"))
+    sizes = sets.groupBy("v").agg(F.count("*").alias("k"), F.max(F.octet_length("set") / 8).cast("long").alias("n"))
+    n = F.when(F.col("k") == 1, F.col("n"))
+    return sizes.join(alone, "v", "left").select("v", n.alias("n"), (n - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
 def _verified(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
     """The pairs (a, b) that are links. Joins are on one class's id; adaptive execution splits those of a hot centre."""
     least = least_matches(percent / 100, miss)
@@ -178,8 +194,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-7) -> D
     labels = cut(components(links))
 
     left = cut(split(labelled(buckets.select("key", "v"))))
-    other = left.select("key", F.col("v").alias("b"), F.col("component").alias("of"))
-    rest = left.join(other, "key").where("component < of").select(F.col("v").alias("a"), "b").distinct()
+    bounds = _own(sets.join(left.select("v").distinct(), "v", "left_semi"))
+    left = left.join(bounds, "v", "left")
+    other = left.select("key", *[F.col(c).alias(f"{c}_b") for c in ("v", "component", "n", "shared")])
+    # no pair shares more than either side's shingles that any other class here has
+    most = F.least("shared", "shared_b")
+    possible = F.coalesce(100 * most >= percent * (F.col("n") + F.col("n_b") - most), F.lit(True))
+    rest = left.join(other, "key").where((F.col("component") < F.col("component_b")) & possible).select(F.col("v").alias("a"), F.col("v_b").alias("b")).distinct()
     more = cut(_verified(rest, sigs, sets, percent, miss))
     if not more.isEmpty():
         labels = cut(components(links.unionByName(more)))
