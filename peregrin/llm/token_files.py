@@ -42,10 +42,10 @@ class Chunked:
     """
 
     #: Only where these follow is a space sure to start a chunk: visible ASCII and Latin letters.
-    LONG = 12
+    LONG = 10
     _CUT, _ODD = re.compile(" (?=[!-~¡-ɏ])"), " [^!-~¡-ɏ]| $"
 
-    def __init__(self, path: str, most: int = 150_000):
+    def __init__(self, path: str, most: int = 80_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -68,13 +68,14 @@ class Chunked:
             new = [w for w in new if w not in old]
         plain = [w for w in new if w and " " not in w]
         passing = {}
-        if plain:  # a space starts each of these and stands nowhere else: one call encodes them all
-            ids = np.asarray(self._whole(" " + " ".join(plain)), "<u4")
+        for i in range(0, len(plain), 4096):  # a space starts each of these and stands nowhere else: one call encodes them all
+            some = plain[i : i + 4096]
+            ids = np.asarray(self._whole(" " + " ".join(some)), "<u4")
             at = np.flatnonzero(self.leads[ids])
-            if len(at) != len(plain):
+            if len(at) != len(some):
                 raise ValueError("this vocabulary doesn't cut before spaces")
             data, at = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
-            for w, s, e in zip(plain, at, at[1:], strict=False):
+            for w, s, e in zip(some, at, at[1:], strict=False):
                 (young if len(w) <= self.LONG else passing)[w] = data[s:e]
         new = [w for w in new if not w or " " in w]
         passing.update(zip(new, self._each([" " + w for w in new]), strict=True))
@@ -218,8 +219,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
         keys: list[int] = []
         lens: list[int] = []
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                some = b.slice(at, 1024)
+            for at in range(0, b.num_rows, 512):
+                some = b.slice(at, 512)
                 for key, got in zip(some.column("doc_id").to_pylist(), enc(some.column("text")), strict=True):
                     held += [got, end]
                     keys.append(_NULL if key is None else key)
