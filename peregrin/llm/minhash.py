@@ -7,8 +7,8 @@
    prior) that its similarity reaches the threshold falls below `miss`; survivors are compared exactly on their full sets.
 4. Pairs are never all pairs of a bucket. First each class is compared with one centre of each of its buckets, the
    smallest, then with the best linked one; what is linked by then is one component. Only then do classes of *different*
-   components that share a bucket meet, and of these only pairs whose similarity can reach the threshold: no pair shares
-   more than the shingles of either side that some other class left has too. So no link between components is lost, and a
+   components that share a bucket meet, and of these only pairs whose similarity can reach the threshold, by exact bounds
+   from what each shares with the bucket's centre and from its shingles that no other class left has. So no link between components is lost, and a
    large group of near copies emits pairs about in proportion to its links.
 
 Bands lose a link at the threshold with chance (1 - t**ROWS)**BANDS: 5e-11 at 0.85, 5e-8 at 0.8.
@@ -123,6 +123,22 @@ def _own(sets: DataFrame) -> DataFrame:
     return sizes.join(alone, "v", "left").select("v", n.alias("n"), (n - F.coalesce("alone", F.lit(0))).alias("shared"))
 
 
+def _with_both(p: DataFrame, t: DataFrame, what: str) -> DataFrame:
+    p = p.join(t.select(F.col("v").alias("a"), F.col(what).alias(f"{what}_a")), "a")
+    return p.join(t.select(F.col("v").alias("b"), F.col(what).alias(f"{what}_b")), "b").select("a", "b", f"{what}_a", f"{what}_b")
+
+
+def _common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) to (v, centre, held): the shingles of a that b has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(held, pa.int64())], names=["v", "centre", "held"])
+
+    return _with_both(pairs, sets, "set").mapInArrow(run, schema("v long, centre long, held long")).groupBy("v", "centre").agg(F.max("held").alias("held"))
+
+
 def _verified(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
     """The pairs (a, b) that are links. Joins are on one class's id; adaptive execution splits those of a hot centre."""
     least = least_matches(percent / 100, miss)
@@ -147,12 +163,8 @@ def _verified(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int,
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    def with_both(p: DataFrame, t: DataFrame, what: str) -> DataFrame:
-        p = p.join(t.select(F.col("v").alias("a"), F.col(what).alias(f"{what}_a")), "a")
-        return p.join(t.select(F.col("v").alias("b"), F.col(what).alias(f"{what}_b")), "b").select("a", "b", f"{what}_a", f"{what}_b")
-
-    survivors = with_both(pairs, sigs, "sig").mapInArrow(prune, schema("a long, b long"))
-    return with_both(survivors, sets, "set").mapInArrow(exact, schema("a long, b long")).distinct()
+    survivors = _with_both(pairs, sigs, "sig").mapInArrow(prune, schema("a long, b long"))
+    return _with_both(survivors, sets, "set").mapInArrow(exact, schema("a long, b long")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-7) -> DataFrame:
@@ -193,12 +205,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-7) -> D
     links = cut(links.unionByName(_verified(star, sigs, sets, percent, miss)))
     labels = cut(components(links))
 
-    left = cut(split(labelled(buckets.select("key", "v"))))
-    bounds = _own(sets.join(left.select("v").distinct(), "v", "left_semi"))
-    left = left.join(bounds, "v", "left")
-    other = left.select("key", *[F.col(c).alias(f"{c}_b") for c in ("v", "component", "n", "shared")])
-    # no pair shares more than either side's shingles that any other class here has
-    most = F.least("shared", "shared_b")
+    left = cut(split(labelled(buckets.select("key", "v"))).join(centres.select("key", "centre"), "key"))
+    common = _common(left.select(F.col("v").alias("a"), F.col("centre").alias("b")).distinct(), sets)
+    left = left.join(_own(sets.join(left.select("v").distinct(), "v", "left_semi")), "v", "left").join(common, ["v", "centre"], "left")
+    left = left.select("key", "v", "component", "n", "shared", "held")
+    other = left.select("key", *[F.col(c).alias(f"{c}_b") for c in left.columns[1:]])
+    # what two classes share is what both share with the bucket's centre, and of the rest only what others here have too
+    most = F.least("shared", "shared_b", F.least("held", "held_b") + F.greatest(F.lit(0), F.least(F.col("shared") - F.col("held"), F.col("shared_b") - F.col("held_b"))))
     possible = F.coalesce(100 * most >= percent * (F.col("n") + F.col("n_b") - most), F.lit(True))
     rest = left.join(other, "key").where((F.col("component") < F.col("component_b")) & possible).select(F.col("v").alias("a"), F.col("v_b").alias("b")).distinct()
     more = cut(_verified(rest, sigs, sets, percent, miss))
