@@ -45,7 +45,7 @@ class Chunked:
     LONG = 10
     _CUT, _ODD = re.compile(" (?=[!-~¡-ɏ])"), " [^!-~¡-ɏ]| $"
 
-    def __init__(self, path: str, most: int = 80_000):
+    def __init__(self, path: str, most: int = 120_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -219,8 +219,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
         keys: list[int] = []
         lens: list[int] = []
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                some = b.slice(at, 512)
+            for at in range(0, b.num_rows, 1024):
+                some = b.slice(at, 1024)
                 for key, got in zip(some.column("doc_id").to_pylist(), enc(some.column("text")), strict=True):
                     held += [got, end]
                     keys.append(_NULL if key is None else key)
