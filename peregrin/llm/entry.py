@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP8_SQL, op8_event_sourced_chat
 from .decontaminate import op2_cgk_decontamination
+from .lines import op3_deletion_neighbourhood
 from .minhash import op9_bayes_minhash
 from .pieces import op10_offset_pieces
 from .quality import op7_divergence_rules
@@ -16,7 +17,7 @@ from .token_files import op1_rans_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rans_token_files, op2_cgk_decontamination, op4_byte_prefix_shards, op7_divergence_rules, op8_event_sourced_chat, op9_bayes_minhash, op10_offset_pieces)}
+    return {f.__name__: f for f in (op1_rans_token_files, op2_cgk_decontamination, op3_deletion_neighbourhood, op4_byte_prefix_shards, op7_divergence_rules, op8_event_sourced_chat, op9_bayes_minhash, op10_offset_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
