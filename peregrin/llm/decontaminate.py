@@ -83,6 +83,10 @@ class Index:
                 self.pieces[q][int(grams(w[p * q : p * q + q], q)[0])].append((i, p * q))
         self.pieces = {q: dict(d) for q, d in self.pieces.items()}
         self.lookup = {q: np.array(sorted(d), np.uint64) for q, d in self.pieces.items()}
+        self.maybe = {}
+        for q, known in self.lookup.items():  # a bit for each value of the upper 20 bits
+            self.maybe[q] = np.zeros(1 << 20, bool)
+            self.maybe[q][(known >> np.uint64(44)).astype(np.int64)] = True
         rng = np.random.default_rng(7)
         self.places = [np.sort(rng.choice(1000, SAMPLES, replace=False)) for _ in range(MOST_REPEATS)]
         self.repeats = self._calibrate(rng, recall)
@@ -112,14 +116,20 @@ class Index:
         p = max(hit / total, 0.02) if total else 1.0
         return 1 if p >= 1 else min(MOST_REPEATS, math.ceil(math.log(1 - recall) / math.log(1 - p)))
 
+    def hits(self, h: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where runs of q letters are pieces, and those runs' hashes."""
+        g = grams(h, q)
+        at = np.flatnonzero(self.maybe[q][(g >> np.uint64(44)).view(np.int64)])
+        known, g = self.lookup[q], g[at]
+        real = known[np.minimum(np.searchsorted(known, g), len(known) - 1)] == g
+        return at[real], g[real]
+
     def search(self, h: np.ndarray) -> list[tuple[int, int, int, int]]:
         """Of a document's words: (item, start, words, edits) of the best run of every item it holds."""
         starts = defaultdict(set)
-        for q, known in self.lookup.items():
-            g = grams(h, q)
-            at = np.searchsorted(known, g)
-            for p in np.flatnonzero(known[np.minimum(at, len(known) - 1)] == g) if len(known) and len(g) else ():
-                for i, offset in self.pieces[q][int(g[p])]:
+        for q in self.lookup:
+            for p, g in zip(*self.hits(h, q), strict=True):
+                for i, offset in self.pieces[q][int(g)]:
                     starts[i].update(range(p - offset - self.k[i], p - offset + self.k[i] + 1))
         found = []
         for i, where in starts.items():
@@ -194,10 +204,8 @@ def _scan(docs: DataFrame, block: list[tuple[int, np.ndarray]]) -> DataFrame:
                 part = b.slice(i, 1024)
                 h, at = word_hashes(part.column("text"), PUNCTUATION)
                 maybe = np.zeros(len(h) + 1, np.int64)
-                for q, known in index.lookup.items():
-                    g = grams(h, q)
-                    if len(g) and len(known):
-                        maybe[: len(g)] |= known[np.minimum(np.searchsorted(known, g), len(known) - 1)] == g
+                for q in index.lookup:
+                    maybe[index.hits(h, q)[0]] = 1
                 before = np.concatenate([[0], np.cumsum(maybe)])
                 rows = []
                 for d in np.flatnonzero(before[at[1:]] > before[at[:-1]]):
