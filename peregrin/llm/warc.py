@@ -236,7 +236,7 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 m AS (SELECT html, max(page_id) AS last FROM p GROUP BY html),
 d AS (SELECT page_id, last, strlen(p.html) AS n, sha1(p.html) AS hex FROM p JOIN m USING (html))
 SELECT page_id, n AS payload_bytes,
-  array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     CAST((CAST('0x' || substr(hex, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
   CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> last THEN last END AS refers_to
