@@ -13,12 +13,13 @@ from .minhash import op9_bayes_minhash
 from .pieces import op10_offset_pieces
 from .quality import op7_divergence_rules
 from .sharding import op4_byte_prefix_shards
+from .suffixes import op5_lcp_merge_dedup
 from .token_files import op1_rans_token_files
 from .warc import OP6_SQL, op6_warc_round_trip
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_rans_token_files, op2_cgk_decontamination, op3_deletion_neighbourhood, op4_byte_prefix_shards, op6_warc_round_trip, op7_divergence_rules, op8_event_sourced_chat, op9_bayes_minhash, op10_offset_pieces)}
+    return {f.__name__: f for f in (op1_rans_token_files, op2_cgk_decontamination, op3_deletion_neighbourhood, op4_byte_prefix_shards, op5_lcp_merge_dedup, op6_warc_round_trip, op7_divergence_rules, op8_event_sourced_chat, op9_bayes_minhash, op10_offset_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
