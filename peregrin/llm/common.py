@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -48,8 +50,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def drop_shuffles(spark: SparkSession) -> None:
-    """Let the driver free shuffle files of plans that are no longer referenced."""
+    """Let the cleaner remove shuffle files of plans that are no longer referenced, before more are written."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
 
 
 def parts(spark: SparkSession) -> int:

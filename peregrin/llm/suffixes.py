@@ -387,7 +387,9 @@ def _splitters(docs: DataFrame, ranges: int) -> np.ndarray:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, t, spans: list of packed pairs of byte offsets) for each document that holds repeated strings; t: xxhash64 of the text."""
     n = parts(docs.sparkSession)
-    found = repeated_anchors(docs, n).groupBy("doc_id", "t").agg(F.collect_list("pos").alias("found"))
+    found = staged(repeated_anchors(docs, n), "repeated-anchors")
+    drop_shuffles(docs.sparkSession)
+    found = found.groupBy("doc_id", "t").agg(F.collect_list("pos").alias("found"))
     runs = _runs(docs.join(found, ["doc_id", "t"]), _splitters(docs, n))
     return _merge(runs).groupBy("doc_id", "t").agg(F.collect_list("spans").alias("spans"))
 
