@@ -30,22 +30,26 @@ from pyspark.sql import functions as F
 
 from .common import schema, texts, word_hashes
 
-EDITS, SAMPLES, RECALL, MOST_REPEATS, BLOCK_WORDS, LEAST_WORDS = 0.2, 2, 0.999, 128, 200_000, 8
+EDITS, SAMPLES, RECALL, MOST_REPEATS, BLOCK_WORDS, LEAST_WORDS = 0.2, 2, 0.99, 128, 200_000, 8
 PUNCTUATION = ".,;:!?\"'()[]{}|#*$%&<>-_/\\"
 _FOUND = "doc_id long, item_id long, start long, n_words long, edits int"
 
 
-def cgk(strings: np.ndarray, steps: int, seed: int) -> np.ndarray:
-    """Embed each row of letters (0 ends it) into `steps` letters; equal rows have equal images for a seed."""
+def cgk(strings: np.ndarray, places: np.ndarray, seed: int) -> np.ndarray:
+    """The letters at `places` (ascending) of the image of each row of letters (0 ends it)."""
     n, width = strings.shape
-    at, rows = np.zeros(n, np.int64), np.arange(n)
-    padded = np.concatenate([strings, np.zeros((n, 1), np.uint64)], axis=1)
-    out = np.zeros((n, steps), np.uint64)
-    for j in range(steps):
-        c = padded[rows, np.minimum(at, width)]
-        out[:, j] = c
-        coin = (c ^ np.uint64(seed * 1_000_003 + j)) * np.uint64(0x9E3779B97F4A7C15)
-        at += ((coin >> np.uint64(61)) & np.uint64(1)).astype(np.int64)
+    padded = np.concatenate([strings, np.zeros((n, 1), np.uint64)], axis=1).ravel()
+    at, row = np.zeros(n, np.int64), np.arange(n) * (width + 1)
+    coins = (np.uint64(seed * 1_000_003) + np.arange(places[-1] + 1, dtype=np.uint64)).tolist()
+    out = np.empty((n, len(places)), np.uint64)
+    k = 0
+    for j in range(places[-1] + 1):
+        c = padded[row + at]
+        while k < len(places) and places[k] == j:
+            out[:, k] = c
+            k += 1
+        at += (((c ^ np.uint64(coins[j])) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).view(np.int64)
+        np.minimum(at, width, out=at)
     return out
 
 
@@ -95,7 +99,7 @@ class Index:
     def _image(self, rows: np.ndarray, repeat: int) -> np.ndarray:
         """The sampled places of the images; they lie where the walk is still inside the string."""
         steps = max(1, int(1.6 * rows.shape[1]))
-        return cgk(rows, steps, repeat + 1)[:, self.places[repeat] * steps // 1000]
+        return cgk(rows, self.places[repeat] * steps // 1000, repeat + 1)
 
     def _calibrate(self, rng: np.random.Generator, recall: float) -> int:
         """Repetitions after which a window with as many edits as allowed is missed with chance 1 - recall at most."""
