@@ -81,8 +81,8 @@ def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.uint8), at
 
 
-_REC = np.dtype([("h", "<u8"), ("doc", "<i8"), ("t", "<i8"), ("pos", "<u4")])
-_OCC = np.dtype([("doc", "<i8"), ("t", "<i8"), ("pos", "<u4")])
+_REC = np.dtype([("h", "<u8"), ("doc", "<i8"), ("pos", "<u4")])
+_OCC = np.dtype([("doc", "<i8"), ("pos", "<u4")])
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -104,14 +104,14 @@ def _unpack(b: bytes, kind: np.dtype) -> np.ndarray:
     return out
 
 
-def _positions(occ: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """Occurrences as rows of a document: doc, t, positions."""
-    occ = occ[np.argsort(occ, order=("doc", "t", "pos"))]
-    cut = np.flatnonzero((occ["doc"][1:] != occ["doc"][:-1]) | (occ["t"][1:] != occ["t"][:-1])) + 1
-    return [(int(o["doc"][0]), int(o["t"][0]), np.ascontiguousarray(o["pos"]).tobytes()) for o in np.split(occ, cut) if len(o)]
+def _positions(occ: np.ndarray) -> list[tuple[int, bytes]]:
+    """Occurrences as rows of a document: doc, positions."""
+    occ = occ[np.lexsort((occ["pos"], occ["doc"]))]
+    cut = np.flatnonzero(occ["doc"][1:] != occ["doc"][:-1]) + 1
+    return [(int(o["doc"][0]), np.ascontiguousarray(o["pos"]).tobytes()) for o in np.split(occ, cut) if len(o)]
 
 
-_FOUND = "doc_id long, t long, pos binary"
+_FOUND = "doc_id long, pos binary"
 
 
 def _arrow(rows: list[tuple], names: tuple[str, ...], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -120,7 +120,7 @@ def _arrow(rows: list[tuple], names: tuple[str, ...], types: list[pa.DataType])
 
 
 def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, t, pos): the anchors whose GRAM-byte hash more than one place has, several rows a document."""
+    """(doc_id, pos): the anchors whose GRAM-byte hash more than one place has, several rows a document."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -130,22 +130,22 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
                 where, h = anchors(data, at)
                 d = np.searchsorted(at, where, "right") - 1
                 rec = np.empty(len(h), _REC)
-                rec["h"], rec["doc"], rec["t"], rec["pos"] = h, part.column("doc_id").to_numpy()[d], part.column("t").to_numpy()[d], where - at[d]
+                rec["h"], rec["doc"], rec["pos"] = h, part.column("doc_id").to_numpy()[d], where - at[d]
                 rec = rec[np.argsort(h, kind="stable")]
                 new = np.concatenate([[True], rec["h"][1:] != rec["h"][:-1]]) if len(rec) else np.zeros(0, bool)
                 again = ~new
                 again[:-1] |= ~new[1:]  # several places in this slice: known to repeat
-                rows = [(-1 - (i + k) % buckets, b"", *r) for k, r in enumerate(_positions(rec[again][["doc", "t", "pos"]].astype(_OCC)))]
+                rows = [(-1 - (i + k) % buckets, b"", *r) for k, r in enumerate(_positions(rec[again][["doc", "pos"]].astype(_OCC)))]
                 one = rec[new]
                 to = (one["h"] % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
                 for g in np.split(one[order], np.flatnonzero(np.diff(to[order])) + 1):
                     if len(g):
-                        rows.append((int(g["h"][0] % np.uint64(buckets)), _pack(g), None, None, None))
-                yield _arrow(rows, ("bucket", "recs", "doc_id", "t", "pos"), [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()])
+                        rows.append((int(g["h"][0] % np.uint64(buckets)), _pack(g), None, None))
+                yield _arrow(rows, ("bucket", "recs", "doc_id", "pos"), [pa.int64(), pa.binary(), pa.int64(), pa.binary()])
 
     def meet(table: pa.Table) -> pa.Table:
-        own = table.filter(pc.is_valid(table.column("pos"))).select(["doc_id", "t", "pos"])
+        own = table.filter(pc.is_valid(table.column("pos"))).select(["doc_id", "pos"])
         packs = [x.as_py() for x in table.column("recs") if len(x.as_py() or b"")]
         if not packs:
             return own
@@ -155,10 +155,10 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         again = np.zeros(len(rec), bool)
         again[1:] |= same
         again[:-1] |= same
-        got = _arrow(_positions(rec[again][["doc", "t", "pos"]].astype(_OCC)), ("doc_id", "t", "pos"), [pa.int64(), pa.int64(), pa.binary()])
+        got = _arrow(_positions(rec[again][["doc", "pos"]].astype(_OCC)), ("doc_id", "pos"), [pa.int64(), pa.binary()])
         return pa.concat_tables([own, pa.Table.from_batches([got])])
 
-    rows = docs.mapInArrow(scan, schema("bucket long, recs binary, doc_id long, t long, pos binary"))
+    rows = docs.mapInArrow(scan, schema("bucket long, recs binary, doc_id long, pos binary"))
     return rows.groupBy("bucket").applyInArrow(meet, schema(_FOUND))
 
 
@@ -228,7 +228,7 @@ def encode_run(keys: np.ndarray, extra: np.ndarray) -> bytes:
     differ = keys[1:] != keys[:-1]
     lcp = np.concatenate([[0], np.where(differ.any(axis=1), differ.argmax(axis=1), WIDTH)]).astype(np.uint8)
     rest = keys[np.arange(WIDTH) >= lcp[:, None]]
-    return zstandard.ZstdCompressor(1).compress(np.uint32(len(keys)).tobytes() + lcp.tobytes() + extra.tobytes() + rest.tobytes())
+    return zstandard.ZstdCompressor(3).compress(np.uint32(len(keys)).tobytes() + lcp.tobytes() + extra.tobytes() + rest.tobytes())
 
 
 _EXTRA = np.dtype([("doc", "<i8"), ("t", "<i8"), ("pos", "<u4"), ("left", "u1"), ("right", "u1")])
@@ -389,8 +389,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     n = parts(docs.sparkSession)
     found = staged(repeated_anchors(docs, n), "repeated-anchors")
     drop_shuffles(docs.sparkSession)
-    found = found.groupBy("doc_id", "t").agg(F.collect_list("pos").alias("found"))
-    runs = _runs(docs.join(found, ["doc_id", "t"]), _splitters(docs, n))
+    found = found.groupBy("doc_id").agg(F.collect_list("pos").alias("found"))
+    runs = _runs(docs.join(found, "doc_id"), _splitters(docs, n))
     return _merge(runs).groupBy("doc_id", "t").agg(F.collect_list("spans").alias("spans"))
 
 
