@@ -37,7 +37,7 @@ def utm(lon: str, lat: str, zone: str) -> tuple[Column, Column]:
     n = f / (2 - f)
     a = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64) * 0.9996
     al = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240]
-    e = 2 * np.sqrt(n) / (1 + n)
+    e = 2 * float(np.sqrt(n)) / (1 + n)
     lam = f"((({lon}) - ((({zone}) % 100)*6e0 - 183e0))*{RAD})"
     s = f"sin(({lat})*{RAD})"
     t = f"sinh(atanh({s}) - {e!r}D*atanh({e!r}D*{s}))"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,14 +70,11 @@ def _readable(head: bytes, encoding: str) -> bool:
     return True
 
 
-def _decoded(encoding: str) -> object:
-    import pandas as pd
-
-    @F.pandas_udf("array<string>")
+def _decoded(encoding: str) -> Callable[[str], Column]:
     def decode(content: pd.Series) -> pd.Series:
         return content.map(lambda b: [x.strip() for x in bytes(b).decode(encoding, "replace").split("\n") if x.strip()])
 
-    return decode
+    return F.pandas_udf(decode, "array<string>", F.PandasUDFType.SCALAR)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
