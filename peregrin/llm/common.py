@@ -6,6 +6,7 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -69,14 +70,14 @@ def schema(text: str) -> T.StructType:
     return T._parse_datatype_string(text)
 
 
-def word_hashes(col: pa.Array, strip: str | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Of texts: the 64-bit hashes of all their words, A-Z lower-cased, end to end; and where each text starts (and the end).
+def word_hashes(col: pa.Array, strip: str | None = None, lower: Callable[[pa.Array], pa.Array] = pc.ascii_lower) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts: the 64-bit hashes of all their words, lower-cased (A-Z by default), end to end; and where each text starts (and the end).
 
     strip: characters taken off both ends of each word; a word of nothing else is none.
     """
     import xxhash
 
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(col.cast(pa.string())))
+    lists = pc.ascii_split_whitespace(lower(col.cast(pa.string())))
     lens = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
     words = lists.flatten().dictionary_encode()
     kinds = words.dictionary.to_pylist()

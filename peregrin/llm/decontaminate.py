@@ -1,6 +1,6 @@
 """Operator 2, benchmark decontamination by the CGK embedding.
 
-Words (A-Z lower-cased, punctuation off both ends) are the letters of the strings compared. A document holds an item if
+Words (lower-cased, punctuation off both ends) are the letters of the strings compared. A document holds an item if
 some run of its words is within EDITS of the item's length in word edits of the item.
 
 Items are the query set: a block of at most BLOCK_WORDS words of them is indexed and shipped to the scan of the
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -185,7 +186,7 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     size = 0
     blocks = []
     for r in rows:  # a block of items is held at a time; each becomes one scan
-        h, _ = word_hashes(pa.array([r.text]), PUNCTUATION)
+        h, _ = word_hashes(pa.array([r.text]), PUNCTUATION, pc.utf8_lower)
         if len(h) >= LEAST_WORDS:
             block.append((r.item_id, h))
             size += len(h)
@@ -206,7 +207,7 @@ def _scan(docs: DataFrame, block: list[tuple[int, np.ndarray]]) -> DataFrame:
         for b in batches:
             for i in range(0, b.num_rows, 1024):
                 part = b.slice(i, 1024)
-                h, at = word_hashes(part.column("text"), PUNCTUATION)
+                h, at = word_hashes(part.column("text"), PUNCTUATION, pc.utf8_lower)
                 maybe = np.zeros(len(h) + 1, np.int64)
                 for q in index.lookup:
                     maybe[index.hits(h, q)[0]] = 1
