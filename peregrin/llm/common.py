@@ -54,7 +54,7 @@ def drop_shuffles(spark: SparkSession) -> None:
     """Let the cleaner remove shuffle files of plans that are no longer referenced, before more are written."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    time.sleep(1)
+    time.sleep(0.5)
 
 
 def parts(spark: SparkSession) -> int:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, schema, staged, texts, word_hashes
+from .common import cut, drop_shuffles, schema, staged, texts, word_hashes
 from .components import components
 
 WORDS, PLACES, BANDS, ROWS, BATCH = 5, 128, 32, 4, 16
@@ -185,9 +185,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-7) -> D
     members = buckets.select("v").distinct()
     sigs = staged(classes.join(members, "v", "left_semi").select("v", "fp", "sig"), "candidates")
     sets = staged(_sets(docs.join(sigs.select("v", "fp"), F.col("doc_id") == F.col("v")).select("v", "fp", "text")).dropDuplicates(["v", "set"]), "sets")
+    drop_shuffles(docs.sparkSession)
 
     star = buckets.where("v <> centre").select(F.col("v").alias("a"), F.col("centre").alias("b")).distinct()
     links = cut(_verified(star, sigs, sets, percent, miss))
+    drop_shuffles(docs.sparkSession)
     labels = components(links)
 
     def labelled(b: DataFrame) -> DataFrame:
@@ -203,18 +205,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-7) -> D
     centres = left.groupBy("key").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("d"), (-F.col("v")).alias("low"), F.col("component").alias("c"))).alias("m")).select("key", (-F.col("m.low")).alias("centre"), F.col("m.c").alias("of"))
     star = left.join(centres, "key").where("component <> of").select(F.col("v").alias("a"), F.col("centre").alias("b")).distinct()
     links = cut(links.unionByName(_verified(star, sigs, sets, percent, miss)))
+    drop_shuffles(docs.sparkSession)
     labels = cut(components(links))
 
     left = cut(split(labelled(buckets.select("key", "v"))).join(centres.select("key", "centre"), "key"))
     common = _common(left.select(F.col("v").alias("a"), F.col("centre").alias("b")).distinct(), sets)
     left = left.join(_own(sets.join(left.select("v").distinct(), "v", "left_semi")), "v", "left").join(common, ["v", "centre"], "left")
-    left = left.select("key", "v", "component", "n", "shared", "held")
+    left = cut(left.select("key", "v", "component", "n", "shared", "held"))
+    drop_shuffles(docs.sparkSession)
     other = left.select("key", *[F.col(c).alias(f"{c}_b") for c in left.columns[1:]])
     # what two classes share is what both share with the bucket's centre, and of the rest only what others here have too
     most = F.least("shared", "shared_b", F.least("held", "held_b") + F.greatest(F.lit(0), F.least(F.col("shared") - F.col("held"), F.col("shared_b") - F.col("held_b"))))
     possible = F.coalesce(100 * most >= percent * (F.col("n") + F.col("n_b") - most), F.lit(True))
     rest = left.join(other, "key").where((F.col("component") < F.col("component_b")) & possible).select(F.col("v").alias("a"), F.col("v_b").alias("b")).distinct()
     more = cut(_verified(rest, sigs, sets, percent, miss))
+    drop_shuffles(docs.sparkSession)
     if not more.isEmpty():
         labels = cut(components(links.unionByName(more)))
 
