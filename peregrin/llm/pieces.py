@@ -13,7 +13,7 @@ Rows are independent: no shuffle.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -155,13 +155,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int32), *arrays]).astype(np.int32)))
 
 
-def encode(docs: DataFrame, model: str) -> DataFrame:
-    """Per row doc_id, ids and ends (the byte of the text's UTF-8 where each piece ends).
-
-    Every whole text, as the library encodes it. A null or empty text has no pieces. Repeated rows stay; an empty
-    table gives no rows.
-    """
-
+def _encoding(model: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(model)
         for b in batches:
@@ -170,12 +164,10 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
                 got = list(enc(part.column("text").to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists([g[0] for g in got]), _lists([g[1] for g in got])], names=["doc_id", "ids", "ends"])
 
-    return texts(docs).mapInArrow(run, schema(_ENCODED))
-
+    return run
 
-def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """encoded plus decoded: what the library's decode makes of the ids."""
 
+def _decoding(model: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from sentencepiece import SentencePieceProcessor
 
@@ -187,12 +179,32 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
                 text = [sp.decode(flat[s:e].tolist()) if e > s else "" for s, e in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "ids", "ends")), pa.array(text, pa.string())], names=["doc_id", "ids", "ends", "decoded"])
 
-    return encoded.mapInArrow(run, schema(_ENCODED + ", decoded string"))
+    return run
+
+
+def encode(docs: DataFrame, model: str) -> DataFrame:
+    """Per row doc_id, ids and ends (the byte of the text's UTF-8 where each piece ends).
+
+    Every whole text, as the library encodes it. A null or empty text has no pieces. Repeated rows stay; an empty
+    table gives no rows.
+    """
+    return texts(docs).mapInArrow(_encoding(model), schema(_ENCODED))
+
+
+def decode(encoded: DataFrame, model: str) -> DataFrame:
+    """encoded plus decoded: what the library's decode makes of the ids."""
+    return encoded.mapInArrow(_decoding(model), schema(_ENCODED + ", decoded string"))
+
+
+def round_trip(docs: DataFrame, model: str) -> DataFrame:
+    """decode(encode(docs)) in one worker a task."""
+    encoding, decoding = _encoding(model), _decoding(model)
+    return texts(docs).mapInArrow(lambda batches: decoding(encoding(batches)), schema(_ENCODED + ", decoded string"))
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:
     """Per row doc_id, n_tokens, ids_sha256, decoded_sha256, covered (source bytes that pieces cover)."""
-    d = decode(encode(docs, model), model)
+    d = round_trip(docs, model)
     return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.coalesce(F.element_at("ends", -1), F.lit(0)).cast("long").alias("covered"))
 
 
