@@ -210,14 +210,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-7) -> D
 
     left = cut(split(labelled(buckets.select("key", "v"))).join(centres.select("key", "centre"), "key"))
     common = _common(left.select(F.col("v").alias("a"), F.col("centre").alias("b")).distinct(), sets)
-    left = left.join(_own(sets.join(left.select("v").distinct(), "v", "left_semi")), "v", "left").join(common, ["v", "centre"], "left")
-    left = cut(left.select("key", "v", "component", "n", "shared", "held"))
+    places = left.groupBy("v").agg(F.collect_set("key").alias("keys"))  # BANDS at most for a set
+    left = left.join(_own(sets.join(left.select("v").distinct(), "v", "left_semi")), "v", "left").join(places, "v").join(common, ["v", "centre"], "left")
+    left = cut(left.select("key", "v", "component", "n", "shared", "held", "keys"))
     drop_shuffles(docs.sparkSession)
     other = left.select("key", *[F.col(c).alias(f"{c}_b") for c in left.columns[1:]])
     # what two classes share is what both share with the bucket's centre, and of the rest only what others here have too
     most = F.least("shared", "shared_b", F.least("held", "held_b") + F.greatest(F.lit(0), F.least(F.col("shared") - F.col("held"), F.col("shared_b") - F.col("held_b"))))
     possible = F.coalesce(100 * most >= percent * (F.col("n") + F.col("n_b") - most), F.lit(True))
-    rest = left.join(other, "key").where((F.col("component") < F.col("component_b")) & possible).select(F.col("v").alias("a"), F.col("v_b").alias("b")).distinct()
+    once = F.array_min(F.array_intersect("keys", "keys_b")) == F.col("key")  # a pair comes from one bucket; what any bucket rules out is no link
+    rest = left.join(other, "key").where((F.col("component") < F.col("component_b")) & possible & once).select(F.col("v").alias("a"), F.col("v_b").alias("b")).distinct()
     more = cut(_verified(rest, sigs, sets, percent, miss))
     drop_shuffles(docs.sparkSession)
     if not more.isEmpty():
