@@ -82,12 +82,12 @@ def _hops(d: DataFrame) -> DataFrame:
 
 def _walk(d: DataFrame) -> DataFrame:
     g, starts = _starts(d)
-    return ctqw.walk_msd(g, starts.orderBy("node").limit(2), [10.0, 60.0]).select("start", "gamma", "step", *_r(6, msd="msd"))
+    return ctqw.walk_msd(g, starts, ctqw.COARSE.tolist()).select("start", "gamma", "step", *_r(6, msd="msd"))
 
 
 def _fit(d: DataFrame) -> DataFrame:
     g, starts = _starts(d)
-    return ctqw.fit_walk(g, starts.orderBy("node").limit(8), _curve(d))
+    return ctqw.fit_walk(g, starts, _curve(d))
 
 
 def _subdivided(d: DataFrame) -> DataFrame:

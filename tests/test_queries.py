@@ -3,8 +3,10 @@
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 
+from peregrin.operators import ctqw
 from peregrin.plans import oracle, queries
 from peregrin.plans.adapter import points
 
@@ -49,3 +51,21 @@ def test_order_of_rows_does_not_matter(spark):
     turned = d.orderBy(d.seq.desc()).repartition(3)
     for name in ("segment_summary", "speed_denoise_a", "msd_ensemble"):
         assert sorted(map(tuple, queries.PLANS[name](d).collect())) == sorted(map(tuple, queries.PLANS[name](turned).collect()))
+
+
+def test_walks_take_every_start_and_coupling(spark):
+    d = points(spark, SF.replace("0.001", "0.01"))
+    starts = {r.node for r in queries.PLANS["start_nodes"](d).collect()}
+    got = queries.PLANS["ctqw_msd"](d).select("start", "gamma").distinct().collect()
+    assert {tuple(r) for r in got} == {(s, g) for s in starts for g in ctqw.COARSE.tolist()}
+    g, _ = queries._starts(d)
+    curve = [tuple(r) for r in queries._curve(d).select("lag", "msd", "alpha").orderBy("lag").collect()]
+    t, msd, alpha = (np.array([np.nan if r[i] is None else r[i] for r in curve], float) for i in range(3))
+    w = ctqw.walk_of(g)
+    loss = {}
+    for s in starts:
+        at = w.nodes.index(s)
+        loss[s] = ctqw.fit(ctqw.simulate(w.values, w.vectors, at, ctqw.hops_squared(len(w.nodes), w.edges, at), ctqw.COARSE), ctqw.COARSE, t, msd, alpha)[1]
+    best = min(loss, key=lambda s: (loss[s], s))
+    assert best not in sorted(starts)[:8]  # else this shows nothing
+    assert {r.start for r in queries.PLANS["ctqw_fit"](d).collect()} == {best}
