@@ -10,9 +10,10 @@ documents, blocks follow each other, so what is broadcast is bounded. Documents
    windows around such pieces are looked at; the filter loses nothing.
 2. CGK: a random walk over a window, which at every step writes the letter under it and moves on or stays by a coin
    that the letter throws, maps edit distance to Hamming distance. It is run in REPEATS repetitions with coins of their own.
-3. Bit sampling: each repetition compares SAMPLES places of the embedding. The number of repetitions is set
-   by simulated edits at the bound on the items themselves, until the target recall is met.
-4. Candidates are verified by exact edit distance (best run within the window's reach).
+3. Bit sampling: each repetition compares SAMPLES places of the embedding. The number of repetitions is set for each
+   length of items, by simulated edits at the bound on all items of that length, until the target recall is met.
+4. Candidates are verified by exact edit distance (best run within the window's reach). Of items for which MOST_REPEATS
+   do not meet the target, all windows of step 1 are.
 
 Windows have the item's length; runs may be shorter or longer by the edits allowed.
 """
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import schema, texts, word_hashes
 
 EDITS, SAMPLES, RECALL, MOST_REPEATS, BLOCK_WORDS, LEAST_WORDS = 0.2, 2, 0.99, 128, 200_000, 8
+#: Calibration: pairs a length and mix; shares of words replaced, taken out and put in.
+TRIALS, MIXES = 2000, ((1 / 3, 1 / 3, 1 / 3), (1 / 8, 3 / 4, 1 / 8), (1 / 8, 1 / 8, 3 / 4))
 PUNCTUATION = ".,;:!?\"'()[]{}|#*$%&<>-_/\\"
 _FOUND = "doc_id long, item_id long, start long, n_words long, edits int"
 
@@ -57,20 +60,17 @@ def cgk(strings: np.ndarray, places: np.ndarray, seed: int) -> np.ndarray:
 def edit_distance_within(a: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """Least edits from a to any run of text: (edits, start, end) of the first best run."""
     m = len(text)
-    cost, start = np.zeros(m + 1, np.int64), np.arange(m + 1)
+    place = np.arange(m + 1)
+    cost, start = np.zeros(m + 1, np.int64), place
     for i, x in enumerate(a, 1):
-        new, from_ = np.empty(m + 1, np.int64), np.empty(m + 1, np.int64)
-        new[0], from_[0] = i, 0
         swap = cost[:-1] + (text != x)
         drop = cost[1:] + 1
         best = np.minimum(swap, drop)
         origin = np.where(swap <= drop, start[:-1], start[1:])
-        for j in range(m):
-            if new[j] + 1 < best[j]:
-                new[j + 1], from_[j + 1] = new[j] + 1, from_[j]
-            else:
-                new[j + 1], from_[j + 1] = best[j], origin[j]
-        cost, start = new, from_
+        ahead = np.concatenate([[i], best]) - place  # a run of letters of text put in costs one each
+        least = np.minimum.accumulate(ahead)
+        own = np.maximum.accumulate(np.where(ahead == least, place, 0))
+        cost, start = least + place, np.concatenate([[0], origin])[own]
     end = int(np.argmin(cost))
     return int(cost[end]), int(start[end]), end
 
@@ -95,31 +95,61 @@ class Index:
         rng = np.random.default_rng(7)
         self.places = [np.sort(rng.choice(1000, SAMPLES, replace=False)) for _ in range(MOST_REPEATS)]
         self.repeats = self._calibrate(rng, recall)
-        self.images = [self._image(w[None, :], r) for r in range(self.repeats) for _, w in items]
+        self.images = [np.array([self._image(w[None, :], r)[0] for r in range(n)]) for n, (_, w) in zip(self.repeats, items, strict=True)]
 
     def _image(self, rows: np.ndarray, repeat: int) -> np.ndarray:
         """The sampled places of the images; they lie where the walk is still inside the string."""
         steps = max(1, int(1.6 * rows.shape[1]))
         return cgk(rows, self.places[repeat] * steps // 1000, repeat + 1)
 
-    def _calibrate(self, rng: np.random.Generator, recall: float) -> int:
-        """Repetitions after which a window with as many edits as allowed is missed with chance 1 - recall at most."""
-        hit = total = 0
-        for i in rng.permutation(len(self.items))[:40]:
-            w, k = self.items[i][1], self.k[i]
-            for _ in range(10):
-                x = w.copy()
-                for _ in range(k):
-                    p = rng.integers(len(x))
-                    kind = rng.integers(3)
-                    new = rng.integers(1, 2**63, dtype=np.uint64)
-                    x = np.insert(x, p, new) if kind == 0 else np.delete(x, p) if kind == 1 and len(x) > 1 else np.concatenate([x[:p], [new], x[p + 1 :]])
-                x = np.concatenate([x, rng.integers(1, 2**63, len(w), dtype=np.uint64)])[: len(w)]
-                r = int(rng.integers(MOST_REPEATS))
-                hit += (self._image(w[None, :], r) == self._image(x[None, :], r)).all()
-                total += 1
-        p = max(hit / total, 0.02) if total else 1.0
-        return 1 if p >= 1 else min(MOST_REPEATS, math.ceil(math.log(1 - recall) / math.log(1 - p)))
+    def _calibrate(self, rng: np.random.Generator, recall: float) -> list[int]:
+        """Of each item, the repetitions after which a window with as many edits as allowed is missed with chance 1 - recall at most.
+
+        0: MOST_REPEATS do not reach that, so all windows are verified. All items of a length share their trials; of lengths
+        over 64 words, all in one of 32 steps an octave, at its longest. Each mix of edits has to reach the target.
+        """
+        lengths = defaultdict(list)
+        for i, (_, w) in enumerate(self.items):
+            step = 1 << max(0, len(w).bit_length() - 6)
+            lengths[-(-len(w) // step) * step].append(i)
+        out = [0] * len(self.items)
+        for n, members in lengths.items():
+            most = max(self._repeats(self._edited([self.items[i][1] for i in members], n, mix, rng), recall) for mix in MIXES)
+            for i in members:
+                out[i] = most if most <= MOST_REPEATS else 0
+        return out
+
+    @staticmethod
+    def _edited(words: list[np.ndarray], n: int, mix: tuple[float, float, float], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """TRIALS rows (or one a text) of n letters, texts cycled; and the windows that stand there after int(EDITS * n) edits at places of their own."""
+        fresh = lambda *shape: rng.integers(1, 2**63, shape, dtype=np.uint64)
+        a = fresh(max(TRIALS, len(words)), n)
+        for r in range(len(a)):
+            w = words[r % len(words)]
+            a[r, : len(w)] = w
+        k = int(EDITS * n)
+        kind = np.zeros(a.shape, np.int8)  # 0 as it is, 1 replaced, 2 taken out, 3 one put before
+        if k:
+            np.put_along_axis(kind, np.argpartition(rng.random(a.shape), k - 1, axis=1)[:, :k], rng.choice(3, (len(a), k), p=mix).astype(np.int8) + 1, axis=1)
+        x = np.where(kind == 1, fresh(*a.shape), a)
+        copies = np.where(kind == 2, 0, np.where(kind == 3, 2, 1))
+        flat, size = np.repeat(x.ravel(), copies.ravel()), copies.sum(axis=1)
+        ends = np.cumsum(copies.ravel())
+        put = (ends - 2)[(kind == 3).ravel()]
+        flat[put] = fresh(len(put))
+        at = (np.cumsum(size) - size)[:, None] + np.arange(n)
+        return a, np.where(np.arange(n) < size[:, None], flat[np.minimum(at, len(flat) - 1)], fresh(*a.shape))
+
+    def _repeats(self, pairs: tuple[np.ndarray, np.ndarray], recall: float) -> int:
+        """Repetitions that leave a share of 1 - recall of the pairs at most, less two standard errors; MOST_REPEATS + 1 if too many stay."""
+        a, b = pairs
+        few = (1 - recall) * len(a)
+        for r in range(MOST_REPEATS):
+            missed = (self._image(a, r) != self._image(b, r)).any(axis=1)
+            a, b = a[missed], b[missed]
+            if len(a) <= few - 2 * math.sqrt(few):
+                return r + 1
+        return MOST_REPEATS + 1
 
     def hits(self, h: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
         """Where runs of q letters are pieces, and those runs' hashes."""
@@ -144,9 +174,9 @@ class Index:
                 continue
             at = s[:, None] + np.arange(len(w))
             windows = np.where((at >= 0) & (at < len(h)), h[np.clip(at, 0, len(h) - 1)], np.uint64(0))
-            live = np.zeros(len(s), bool)
-            for r in range(self.repeats):
-                live[~live] = (self._image(windows[~live], r) == self.images[r * len(self.items) + i]).all(axis=1)
+            live = np.full(len(s), not self.repeats[i])
+            for r in range(self.repeats[i]):
+                live[~live] = (self._image(windows[~live], r) == self.images[i][r]).all(axis=1)
                 if live.all():
                     break
             best = None

@@ -110,6 +110,27 @@ def test_edit_distance():
         assert n == best == _levenshtein(a, b[s:e])
 
 
+def test_leaks_of_every_length_at_the_bound():
+    r = np.random.default_rng(4)
+    letters = lambda n: r.integers(1, 2**63, n, dtype=np.uint64)
+    items = [(i, letters(n)) for i, n in enumerate([15] * 60 + [40] * 20 + [100] * 10 + [300] * 10)]
+    index = decontaminate.Index(items)
+    found = collections.defaultdict(list)
+    for i, w in items:
+        k = len(w) // 5
+        for kinds in ([0, 1, 2], [0, 0, 0, 1], [1, 1, 1, 2]):
+            x = w.tolist()
+            for j, p in enumerate(sorted(r.choice(len(w), k, replace=False).tolist(), reverse=True)):
+                kind = kinds[j % len(kinds)]
+                x[p : p + (kind != 0)] = letters(1).tolist() if kind < 2 else []
+            text = np.concatenate([letters(50), np.array(x, np.uint64), letters(50)])
+            hit = [f for f in index.search(text) if f[0] == i]
+            assert all(f[3] <= k for f in hit)
+            found[len(w)].append(bool(hit))
+    assert all(np.mean(x) >= 0.97 for x in found.values()), {n: np.mean(x) for n, x in found.items()}
+    assert all(found[300])
+
+
 def _levenshtein(a, b):
     d = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
