@@ -1,5 +1,6 @@
 """Five stages over the documents, each on all that its predecessor kept.
 
+Stages judge rows, not ids: rows with a null doc_id, or that share one, stay or go each by its own text and language.
 `run` applies them; each stage is written as Parquet to the shared folder and read again. All but the last return the
 columns of documents.
 """
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peregrin.llm.common import staged
+from peregrin.llm.common import drop_shuffles, staged
 from peregrin.llm.decontaminate import find_leaks
 from peregrin.llm.lines import dedup_lines
 from peregrin.llm.minhash import near_duplicates
@@ -19,10 +20,20 @@ from peregrin.llm.quality import quality
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with __key, a hash of what verdicts depend on and the id; never null, equal for repeated rows only."""
+    return docs.withColumn("__key", F.xxhash64("doc_id", F.col("text").isNull(), "text", F.col("lang").isNull(), "lang"))
+
+
+def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """The rows of docs whose __key is no doc_id of bad."""
+    return docs.join(bad.select(F.col("doc_id").alias("__key")).distinct(), "__key", "left_anti").select(*COLUMNS)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the base rules or the divergence from their language reject."""
-    rejected = quality(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    d = _keyed(docs)
+    return _without(d, quality(d.withColumn("doc_id", F.col("__key"))).where(~F.col("kept")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,15 +43,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group linked at a similarity of 0.8."""
-    gone = near_duplicates(docs, percent=80).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Keep one row of each group linked at a similarity of 0.8: that of the smallest doc_id (null first), then by a hash of the text.
+
+    Rows are numbered in that order, so rows of one id are apart. Rows without a word are linked to none.
+    """
+    ordered = docs.select(*COLUMNS).orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    d = staged(ordered.withColumn("__key", F.monotonically_increasing_id()), "numbered")
+    drop_shuffles(docs.sparkSession)
+    return _without(d, near_duplicates(d.withColumn("doc_id", F.col("__key")), percent=80).where(~F.col("kept")))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
-    leaking = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(leaking, "doc_id", "left_anti").select(*COLUMNS)
+    d = _keyed(docs)
+    return _without(d, find_leaks(d.withColumn("doc_id", F.col("__key")), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -383,3 +383,18 @@ def test_stages(spark, texts, tmp_path):
     assert not {1, 2, 3, 4, 5} & kept["quality rules"] and 6 in kept["benchmark decontamination"] and 7 not in kept["line dedup"]
     out = pipeline.run(spark, f"file://{tmp_path}")
     assert {r.doc_id for r in out.collect()} == kept["benchmark decontamination"]
+
+
+def test_stages_judge_rows(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    item = prose(40, 99)
+    clean = [prose(200, 300 + i) for i in range(5)]
+    leak = prose(100, 77) + " " + item + " " + prose(100, 78)
+    near = clean[3].rsplit(" ", 2)[0]
+    rows = [(None, clean[0]), (None, clean[1]), (None, "zz"), (None, leak), (1, clean[2]), (1, "zz too"), (1, leak), (2, clean[3]), (2, clean[4]), (2, clean[4]), (0, near)]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(k, t, "xx", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = lambda stage: collections.Counter((r.doc_id, r.text) for r in stage(spark, docs, f"file://{tmp_path}").collect())
+    assert left(pipeline.quality_rules) == collections.Counter((k, t) for k, t in rows if "zz" not in t)
+    assert left(pipeline.benchmark_decontamination) == collections.Counter((k, t) for k, t in rows if t != leak)
+    assert left(pipeline.minhash_near_dedup) == collections.Counter({(k, t) for k, t in rows} - {(1, leak), (2, clean[3])})
