@@ -48,14 +48,15 @@ class Chunked:
     def __init__(self, path: str, most: int = 120_000):
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tok, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.bare.encode_special_tokens = True  # chunks that are encoded together can't make up an added token
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.most, self.young, self.old = most, {}, {}
         self.leads = np.zeros(self.tok.get_vocab_size(), bool)
         self.leads[[i for t, i in self.tok.get_vocab().items() if t[:1] == "\u0120"]] = True  # how the vocabulary writes a space
 
     def _each(self, chunks: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.bare.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def _after_space(self, words: list[str]) -> list[bytes]:
         """The ids of " " + word, for distinct words. Words of over LONG characters seldom return and aren't kept."""
@@ -84,7 +85,7 @@ class Chunked:
         return [passing[w] if w in passing else young[w] for w in words]
 
     def _whole(self, text: str) -> list[int]:
-        return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _join(self, words: pa.Array, at: np.ndarray) -> list[np.ndarray]:
         """The ids of texts whose words stand at at[i] to at[i + 1]; all but the first of a text follow a space."""
@@ -100,11 +101,16 @@ class Chunked:
         return np.split(ids, ends[at[1:-1] - 1])
 
     def __call__(self, col: pa.Array) -> list[np.ndarray]:
-        """The ids of each text."""
+        """The ids of each text; one that holds an added token is encoded whole."""
         col = col.cast(pa.string()) if len(col) else col
+        whole = np.zeros(len(col), bool)
+        for t in self.added if len(col) else ():
+            whole |= pc.match_substring(col, t).to_numpy(zero_copy_only=False)
         odd = pc.match_substring_regex(col, self._ODD).to_numpy(zero_copy_only=False)
         out: list[np.ndarray | None] = [None] * len(col)
-        for where, lists in ((np.flatnonzero(~odd), None), (np.flatnonzero(odd), self._CUT)):
+        for i in np.flatnonzero(whole).tolist():
+            out[i] = np.asarray(self.tok.encode(col[i].as_py(), add_special_tokens=False).ids, "<u4")
+        for where, lists in ((np.flatnonzero(~odd & ~whole), None), (np.flatnonzero(odd & ~whole), self._CUT)):
             if len(where):
                 some = col.take(pa.array(where))
                 lists = pa.array([lists.split(t) for t in some.to_pylist()], pa.list_(pa.string())) if lists else pc.split_pattern(some, " ")

@@ -74,6 +74,15 @@ def test_token_files(spark, docs, texts, empty, tmp_path):
     assert token_files.read_token_files(spark, f"file://{tmp_path}/b").count() == 0
 
 
+def test_added_tokens_are_the_library_s():
+    from tokenizers import Tokenizer
+
+    path = tokens.path("byte_bpe_50k.json")
+    fresh = Tokenizer.from_file(path)
+    rows = ["a <|endoftext|> b", "plain words", "x<|endoftext|>", "", "é <|endoftext|>  日本 \n", "<|endof text|>"]
+    assert [x.tolist() for x in token_files.Chunked(path)(pa.array(rows))] == [fresh.encode(t, add_special_tokens=False).ids for t in rows]
+
+
 def test_coder():
     r = np.random.default_rng(3)
     for n, kinds in ((1, 1), (5, 2), (1000, 3), (200_000, 5000)):
