@@ -6,7 +6,7 @@ import gc
 import tempfile
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +66,18 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def slices(b: pa.RecordBatch, column: str, most_bytes: int = 4 << 20, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """b in slices of so many rows and bytes of a text column at most; a longer text is a slice of its own."""
+    size = pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    at = 0
+    while at < b.num_rows:
+        to = int(np.searchsorted(ends, ends[at] + most_bytes, "right")) - 1
+        to = min(max(to, at + 1), at + most_rows, b.num_rows)
+        yield b.slice(at, to - at)
+        at = to
+
+
 def schema(text: str) -> T.StructType:
     return T._parse_datatype_string(text)
 

@@ -4,17 +4,21 @@ A byte goes if it lies in a LENGTH-byte string that also starts earlier. Sorting
 corpus, so a sparse suffix array is sorted: suffixes at anchors, the places of the least GRAM-byte hash of some
 LENGTH-byte string. Anchors depend on the string's bytes alone, so equal strings have an anchor at the same offset.
 
-1. Anchors whose GRAM bytes stand nowhere else fall away: hashes meet by bucket, one record a distinct hash and slice of documents,
-   so that a passage in a third of all documents is a record a slice.
+0. Strings that stand a period of at most LEFT bytes earlier in the same text are found there and need no anchor, so that long
+   runs of a letter or pattern have a few anchors instead of one a byte.
+1. Anchors whose GRAM bytes stand nowhere else fall away. Hashes meet by bucket; a task sends a distinct hash of its documents once,
+   so that a passage in a third of all documents is a record a task. What repeats is packed by the bucket of its document, a row for
+   each pair of buckets, and unpacked to a row a document.
 2. Each partition sorts the suffixes at what is left, by the bytes from the anchor on and then those before it, as far as any LENGTH-byte string
    with the anchor reaches. Equal ones become the earliest (others are covered whole). The sorted run is front-coded and
    cut at the splitters of sampled suffixes.
 3. Runs of a range are merged by a loser tree that keeps each suffix's common prefix with the last one put out: it
    compares lengths first and, where they tie, only the bytes beyond them.
 4. In the merged array neighbours that share GRAM bytes hold the candidates. For each offset of the anchor in a LENGTH-byte string, all
-   but the earliest of equal strings are covered.
+   but the earliest of equal strings are covered; equality is that of bytes (classes of common prefixes to both sides), never of hashes.
 
-Covered spans go back to their documents by id.
+Covered spans go back to their documents by id. Work is cut by bytes and by numbers of anchors, so memory depends on neither the number
+nor the kind of documents in a batch.
 """
 
 from __future__ import annotations
@@ -23,18 +27,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_shuffles, parts, schema, staged, texts
+from .common import drop_shuffles, parts, schema, slices, staged, texts
 
 LENGTH, GRAM = 100, 32
 LEFT = LENGTH - GRAM
 WIDTH = LENGTH + LEFT
 _NULL = -(2**63)
 _A = 0x9E3779B97F4A7C15 | 1
-_BATCH = 1 << 18
+#: Anchors that are sorted, or suffixes that are compared, at a time; bytes that are hashed at a time.
+_BATCH, _CHUNK = 1 << 18, 1 << 18
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -42,27 +46,64 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def periodic(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of texts end to end: pairs of ends of stretches whose LENGTH-byte strings all stand 1 to LEFT bytes earlier in the same text.
+
+    A period that is a multiple of one met before in the text isn't looked for. What a text gives depends on it alone.
+    """
+    half, found = LENGTH // 2, {}
+    probe = np.arange(0, len(data), half)  # a stretch holds a whole block from one of these on
+    text = np.searchsorted(at, probe, "right") - 1
+    inside = probe + half <= at[text + 1]
+    probe, text = probe[inside], text[inside]
+    for p in range(1, LEFT + 1):
+        ok = probe - p >= at[text]
+        m, t = probe[ok], text[ok]
+        for j in (0, half - 1, 17, 33, 9, 41, 25):
+            same = data[m + j] == data[m + j - p]
+            m, t = m[same], t[same]
+        for k in np.unique(t).tolist():
+            if any(p % q == 0 for q in found.get(k, ())):
+                continue
+            s, e = int(at[k]), int(at[k + 1])
+            differ = np.concatenate([[-1], np.flatnonzero(data[s + p : e] != data[s : e - p]), [e - s - p]])
+            long = np.flatnonzero(np.diff(differ) > LENGTH)
+            if len(long):
+                found.setdefault(k, {})[p] = np.stack([differ[long] + 1, differ[long + 1]], axis=1) + s + p
+    every = [x for of in found.values() for x in of.values()]
+    return np.concatenate(every) if every else np.zeros((0, 2), np.int64)
+
+
 def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of texts end to end (text i is data[at[i] : at[i + 1]]): where anchors are, and the hashes of their GRAM bytes."""
-    n = len(data) - GRAM + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h, step, power = data.astype(np.uint64) + np.uint64(1), 1, _A
-    while step < GRAM:
-        h = h[:-step] * np.uint64(power) + h[step:]
-        power, step = power * power & (2**64 - 1), step * 2
-    h = _mix(h)
-    w = LENGTH - GRAM + 1
-    starts = n - w + 1
-    if starts <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    low = _sliding(np.minimum, h, w)
-    room = np.repeat(at[1:], np.diff(at))[: len(low)] - np.arange(len(low))
-    low[room < LENGTH] = 0  # such strings would cross the text's end
-    edge = np.zeros(w - 1, np.uint64)
-    best = _sliding(np.maximum, np.concatenate([edge, low, edge]), w)
-    found = np.flatnonzero((best[: len(h)] == h) & (h > 0))
-    return found, h[found]
+    again = np.zeros(len(data) + 1, np.int32)
+    spans = periodic(data, at)
+    np.add.at(again, spans[:, 0], 1)
+    np.add.at(again, spans[:, 1] - LENGTH + 1, -1)
+    again = np.cumsum(again)[:-1] > 0
+    starts = at[1:] - LENGTH + 1
+    for s, e in zip(np.maximum(at[:-1], starts), at[1:], strict=True):  # such strings would cross the text's end
+        again[s:e] = True
+    places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for c in range(0, len(data) - LENGTH + 1, _CHUNK):  # strings that start from here on
+        part = data[c : c + _CHUNK + LENGTH - 1]
+        h, step, power = part.astype(np.uint64) + np.uint64(1), 1, _A
+        while step < GRAM:
+            h = h[:-step] * np.uint64(power) + h[step:]
+            power, step = power * power & (2**64 - 1), step * 2
+        h = _mix(h) | np.uint64(1)
+        w = LENGTH - GRAM + 1
+        low = _sliding(np.minimum, h, w)
+        low[again[c : c + len(low)]] = 0
+        edge = np.zeros(w - 1, np.uint64)
+        best = _sliding(np.maximum, np.concatenate([edge, low, edge]), w)
+        got = np.flatnonzero(best == h)
+        if places[-1].size and len(got):
+            got = got[got + c > places[-1][-1]]  # both chunks may have those at the seam
+        if len(got):
+            places.append(got + c)
+            hashes.append(h[got])
+    return np.concatenate(places), np.concatenate(hashes)
 
 
 def _sliding(of: np.ufunc, x: np.ndarray, w: int) -> np.ndarray:
@@ -75,10 +116,11 @@ def _sliding(of: np.ufunc, x: np.ndarray, w: int) -> np.ndarray:
 
 
 def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a text column end to end, and where each text starts (and the end)."""
-    raw = [x.as_py().encode() for x in col]
-    at = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    return np.frombuffer(b"".join(raw), np.uint8), at
+    """The bytes of a text column without nulls end to end, and where each text starts (and the end)."""
+    _, ends, data = col.buffers()
+    at = np.frombuffer(ends, np.int64 if pa.types.is_large_string(col.type) else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return data, at - at[0]
 
 
 _REC = np.dtype([("h", "<u8"), ("doc", "<i8"), ("pos", "<u4")])
@@ -104,14 +146,25 @@ def _unpack(b: bytes, kind: np.dtype) -> np.ndarray:
     return out
 
 
-def _positions(occ: np.ndarray) -> list[tuple[int, bytes]]:
-    """Occurrences as rows of a document: doc, positions."""
-    occ = occ[np.lexsort((occ["pos"], occ["doc"]))]
-    cut = np.flatnonzero(occ["doc"][1:] != occ["doc"][:-1]) + 1
-    return [(int(o["doc"][0]), np.ascontiguousarray(o["pos"]).tobytes()) for o in np.split(occ, cut) if len(o)]
+def _binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """A row of bytes for each run of values that starts at one of the cuts."""
+    ends = np.concatenate([cuts, [len(values)]]).astype(np.int64) * values.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())]).cast(pa.binary())
+
 
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys start."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
 
-_FOUND = "doc_id long, pos binary"
+
+def _pieces(key: np.ndarray) -> list[tuple[int, int]]:
+    """Where runs of equal keys start and end."""
+    at = _starts(key).tolist()
+    return list(zip(at, [*at[1:], len(key)], strict=False))
 
 
 def _arrow(rows: list[tuple], names: tuple[str, ...], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -119,47 +172,75 @@ def _arrow(rows: list[tuple], names: tuple[str, ...], types: list[pa.DataType])
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], names=list(names))
 
 
+def _dealt(a: np.ndarray, to: np.ndarray) -> dict[int, bytes]:
+    """a packed by where its records go."""
+    order = np.argsort(to, kind="stable")
+    a, to = a[order], to[order]
+    return {int(to[s]): _pack(a[s:e]) for s, e in _pieces(to)}
+
+
+def _home(doc: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a document."""
+    return (_mix(doc.astype(np.uint64) * np.uint64(_A)) % np.uint64(buckets)).astype(np.int64)
+
+
 def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, pos): the anchors whose GRAM-byte hash more than one place has, several rows a document."""
+    """(doc_id, pos): the anchors whose GRAM-byte hash more than one place has, a row a document."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def send() -> pa.RecordBatch:
+            rec = np.concatenate([np.zeros(0, _REC), *held])
+            held.clear()
+            rec = rec[np.argsort(rec["h"], kind="stable")]
+            again = np.ones(len(rec), bool)
+            again[_starts(rec["h"])] = False
+            one = rec[~again]
+            again[:-1] |= again[1:]  # several places here: known to repeat
+            known = rec[again][["doc", "pos"]].astype(_OCC)
+            recs, occ = _dealt(one, (one["h"] >> np.uint64(1)) % np.uint64(buckets)), _dealt(known, _home(known["doc"], buckets))
+            return _arrow([(k, recs.get(k), occ.get(k)) for k in sorted({*recs, *occ})], ("bucket", "recs", "occ"), [pa.int64(), pa.binary(), pa.binary()])
+
         for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                part = b.slice(i, 1024)
+            for part in slices(b, "text"):
                 data, at = _flat(part.column("text"))
                 where, h = anchors(data, at)
                 d = np.searchsorted(at, where, "right") - 1
                 rec = np.empty(len(h), _REC)
                 rec["h"], rec["doc"], rec["pos"] = h, part.column("doc_id").to_numpy()[d], where - at[d]
-                rec = rec[np.argsort(h, kind="stable")]
-                new = np.concatenate([[True], rec["h"][1:] != rec["h"][:-1]]) if len(rec) else np.zeros(0, bool)
-                again = ~new
-                again[:-1] |= ~new[1:]  # several places in this slice: known to repeat
-                rows = [(-1 - (i + k) % buckets, b"", *r) for k, r in enumerate(_positions(rec[again][["doc", "pos"]].astype(_OCC)))]
-                one = rec[new]
-                to = (one["h"] % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                for g in np.split(one[order], np.flatnonzero(np.diff(to[order])) + 1):
-                    if len(g):
-                        rows.append((int(g["h"][0] % np.uint64(buckets)), _pack(g), None, None))
-                yield _arrow(rows, ("bucket", "recs", "doc_id", "pos"), [pa.int64(), pa.binary(), pa.int64(), pa.binary()])
-
-    def meet(table: pa.Table) -> pa.Table:
-        own = table.filter(pc.is_valid(table.column("pos"))).select(["doc_id", "pos"])
-        packs = [x.as_py() for x in table.column("recs") if len(x.as_py() or b"")]
-        if not packs:
-            return own
-        rec = np.concatenate([_unpack(p, _REC) for p in packs])
+                held.append(rec)
+                if sum(map(len, held)) >= 4 * _BATCH:
+                    yield send()
+        yield send()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        recs, occ = [np.zeros(0, _REC)], [np.zeros(0, _OCC)]
+        for b in batches:
+            recs += [_unpack(x.as_py(), _REC) for x in b.column("recs") if x.is_valid]
+            occ += [_unpack(x.as_py(), _OCC) for x in b.column("occ") if x.is_valid]
+        rec = np.concatenate(recs)
+        recs.clear()
         rec = rec[np.argsort(rec["h"], kind="stable")]
         same = rec["h"][1:] == rec["h"][:-1]
         again = np.zeros(len(rec), bool)
         again[1:] |= same
         again[:-1] |= same
-        got = _arrow(_positions(rec[again][["doc", "pos"]].astype(_OCC)), ("doc_id", "pos"), [pa.int64(), pa.binary()])
-        return pa.concat_tables([own, pa.Table.from_batches([got])])
+        all_ = np.concatenate([*occ, rec[again][["doc", "pos"]].astype(_OCC)])
+        yield _arrow(sorted(_dealt(all_, _home(all_["doc"], buckets)).items()), ("bucket", "occ"), [pa.int64(), pa.binary()])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        occ = np.concatenate([np.zeros(0, _OCC), *[_unpack(x.as_py(), _OCC) for b in batches for x in b.column("occ")]])
+        occ = occ[np.lexsort((occ["pos"], occ["doc"]))]
+        occ = occ[_starts(occ["doc"], occ["pos"])]
+        at = np.concatenate([_starts(occ["doc"]), [len(occ)]])
+        for i in range(0, len(at) - 1, 4096):
+            some = at[i : i + 4097]
+            part = occ[some[0] : some[-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(occ["doc"][some[:-1]]), _binary(np.ascontiguousarray(part["pos"]), some[:-1] - some[0])], names=["doc_id", "pos"])
 
-    rows = docs.mapInArrow(scan, schema("bucket long, recs binary, doc_id long, pos binary"))
-    return rows.groupBy("bucket").applyInArrow(meet, schema(_FOUND))
+    sent = docs.mapInArrow(scan, schema("bucket long, recs binary, occ binary")).repartitionById(buckets, F.col("bucket").cast("int"))
+    return sent.mapInArrow(meet, schema("bucket long, occ binary")).repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(unpack, schema("doc_id long, pos binary"))
 
 
 class LoserTree:
@@ -225,8 +306,7 @@ def encode_run(keys: np.ndarray, extra: np.ndarray) -> bytes:
     """Front-code sorted keys (rows of bytes): the common prefix with the key before, and the rest."""
     import zstandard
 
-    differ = keys[1:] != keys[:-1]
-    lcp = np.concatenate([[0], np.where(differ.any(axis=1), differ.argmax(axis=1), WIDTH)]).astype(np.uint8)
+    lcp = _prefix(keys).astype(np.uint8)
     rest = keys[np.arange(WIDTH) >= lcp[:, None]]
     return zstandard.ZstdCompressor(3).compress(np.uint32(len(keys)).tobytes() + lcp.tobytes() + extra.tobytes() + rest.tobytes())
 
@@ -248,39 +328,56 @@ def decode_run(blob: bytes) -> Iterator[tuple[int, bytes, tuple]]:
         yield p, key, e
 
 
+def _contexts(data: np.ndarray, a: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    """Rows of bytes: from the anchor on, then backwards from it, zeros beyond the text's ends."""
+    window = np.lib.stride_tricks.sliding_window_view
+    after = window(np.concatenate([data, np.zeros(LENGTH, np.uint8)]), LENGTH)
+    before = window(np.concatenate([np.zeros(LEFT, np.uint8), data]), LEFT)  # row i: the LEFT bytes before data[i]
+    keys = np.concatenate([after[a], before[a][:, ::-1]], axis=1)
+    for side, size, full in ((keys[:, :LENGTH], extra["right"], LENGTH), (keys[:, LENGTH:], extra["left"], LEFT)):
+        short = np.flatnonzero(size < full)
+        side[short] = np.where(np.arange(full) < size[short, None], side[short], 0)
+    return keys
+
+
 def _runs(joined: DataFrame, splitters: np.ndarray) -> DataFrame:
-    """(doc_id, t, text, found: list of positions) to front-coded runs by range, with the spans that this partition covers whole."""
+    """(doc_id, t, text, pos) to front-coded runs by range, with the spans that this partition covers whole."""
+    names, types = ("range", "run", "doc_id", "t", "spans"), [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+
+    def sort(keys: np.ndarray, extra: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((extra["pos"], extra["doc"], np.ascontiguousarray(keys).view(f"S{WIDTH}").ravel()))
+        keys, extra = keys[order], extra[order]
+        same = np.concatenate([[False], (keys[1:] == keys[:-1]).all(axis=1) & (extra["right"][1:] == extra["right"][:-1]) & (extra["left"][1:] == extra["left"][:-1]) & ((extra["doc"][1:] != extra["doc"][:-1]) | (extra["pos"][1:] != extra["pos"][:-1]))])
+        # the first of equals is the earliest; the others are covered as far as their context goes
+        rows = [(k % (len(splitters) + 1), None, *r) for k, r in enumerate(_spans(extra[same]))]
+        keys, extra = keys[~same], extra[~same]
+        to = np.searchsorted(splitters, np.ascontiguousarray(keys[:, :GRAM]).view(f"S{GRAM}").ravel(), "right")
+        for s, e in _pieces(to):
+            rows.append((int(to[s]), encode_run(keys[s:e], extra[s:e]), None, None, None))
+        return _arrow(rows, names, types)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
+            for part in slices(b, "text"):
                 data, at = _flat(part.column("text"))
-                found = [np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in row])) for row in part.column("found").to_pylist()]
-                d = np.repeat(np.arange(len(found)), [len(f) for f in found])
-                pos = np.concatenate([np.zeros(0, np.int64), *[f.astype(np.int64) for f in found]])
-                a, start, end = at[d] + pos, at[d], at[d + 1]
-                ok = a + GRAM <= end
-                d, pos, a, start, end = d[ok], pos[ok], a[ok], start[ok], end[ok]
-                if not len(a):
-                    continue
-                extra = np.empty(len(a), _EXTRA)
+                where = [np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in part.column("pos")]
+                d = np.repeat(np.arange(len(where)), [len(x) for x in where])
+                pos = np.concatenate([np.zeros(0, np.int64), *where])
+                ok = at[d] + pos + GRAM <= at[d + 1]
+                d, pos = d[ok], pos[ok]
+                extra = np.empty(len(pos), _EXTRA)
                 extra["doc"], extra["t"], extra["pos"] = part.column("doc_id").to_numpy()[d], part.column("t").to_numpy()[d], pos
-                extra["right"], extra["left"] = np.minimum(LENGTH, end - a), np.minimum(LEFT, a - start)
-                where = a[:, None] + np.concatenate([np.arange(LENGTH), -1 - np.arange(LEFT)])
-                inside = np.concatenate([np.arange(LENGTH) < extra["right"][:, None], np.arange(LEFT) < extra["left"][:, None]], axis=1)
-                keys = np.where(inside, data[np.clip(where, 0, len(data) - 1)], 0).astype(np.uint8)
-                order = np.lexsort((extra["pos"], extra["doc"], np.ascontiguousarray(keys).view(f"S{WIDTH}").ravel()))
-                keys, extra = keys[order], extra[order]
-                same = np.concatenate([[False], (keys[1:] == keys[:-1]).all(axis=1) & (extra["right"][1:] == extra["right"][:-1]) & (extra["left"][1:] == extra["left"][:-1]) & ((extra["doc"][1:] != extra["doc"][:-1]) | (extra["pos"][1:] != extra["pos"][:-1]))])
-                # the first of equals is the earliest; the others are covered as far as their context goes
-                rows = [(-1 - k % (len(splitters) + 1), None, *r) for k, r in enumerate(_spans(extra[same]))]
-                keys, extra = keys[~same], extra[~same]
-                to = np.searchsorted(splitters, np.ascontiguousarray(keys[:, :16]).view("S16").ravel(), "right")
-                for r in np.unique(to):
-                    m = to == r
-                    rows.append((int(r), encode_run(keys[m], extra[m]), None, None, None))
-                yield _arrow(rows, ("range", "run", "doc_id", "t", "spans"), [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()])
+                extra["right"], extra["left"] = np.minimum(LENGTH, at[d + 1] - at[d] - pos), np.minimum(LEFT, pos)
+                for i in range(0, len(pos), _BATCH // 4):
+                    some = slice(i, i + _BATCH // 4)
+                    held.append((_contexts(data, (at[d] + pos)[some], extra[some]), extra[some]))
+                    n += len(held[-1][0])
+                    if n >= _BATCH:
+                        yield sort(np.concatenate([k for k, _ in held]), np.concatenate([x for _, x in held]))
+                        held, n = [], 0
+        if n:
+            yield sort(np.concatenate([k for k, _ in held]), np.concatenate([x for _, x in held]))
 
     return joined.mapInArrow(build, schema("range long, run binary, doc_id long, t long, spans binary"))
 
@@ -298,39 +395,49 @@ def _spans(extra: np.ndarray, low: np.ndarray | None = None, high: np.ndarray |
     return [(int(e["doc"][0]), int(e["t"][0]), p.tobytes()) for e, p in zip(np.split(extra, cut), np.split(pairs, cut), strict=True) if len(e)]
 
 
+def _prefix(keys: np.ndarray) -> np.ndarray:
+    """Of rows of bytes the common prefix with the row before; 0 for the first."""
+    differ = keys[1:] != keys[:-1]
+    return np.concatenate([[0], np.where(differ.any(axis=1), differ.argmax(axis=1), keys.shape[1])])
+
+
 def _covered(keys: np.ndarray, extra: np.ndarray) -> list[tuple[int, int, bytes]]:
-    """Spans of suffixes that share GRAM bytes with others: for each offset, all but the earliest of equal strings."""
-    order = np.lexsort((extra["pos"], extra["doc"]))
-    keys, extra = keys[order], extra[order]
+    """Spans of sorted suffixes that share GRAM bytes with others: for each offset, all but the earliest of equal strings.
+
+    Strings are equal if their bytes to the right of the anchor are one class of common prefixes, and those to the left another.
+    """
     n = len(keys)
-    right, left = np.zeros((n, LENGTH + 1), np.uint64), np.zeros((n, LEFT + 1), np.uint64)
-    for side, of in ((right, keys[:, :LENGTH]), (left, keys[:, LENGTH:])):
-        for j in range(of.shape[1]):
-            side[:, j + 1] = _mix((side[:, j] + of[:, j] + np.uint64(1)) * np.uint64(_A))
+    before = np.ascontiguousarray(keys[:, LENGTH:])
+    by_left = np.argsort(before.view(f"S{LEFT}").ravel(), kind="stable")
+    right, left = _prefix(keys[:, :LENGTH]), _prefix(before[by_left])
+    order = np.lexsort((extra["pos"], extra["doc"]))
+    extra, place = extra[order], np.empty(n, np.int64)
+    place[by_left] = np.arange(n)
     low, high = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-    place = extra["doc"].astype(np.int64), extra["pos"]
+    doc, pos = extra["doc"], extra["pos"].astype(np.int64)
     for r in range(LEFT + 1):
         fits = np.flatnonzero((extra["left"] >= r) & (extra["right"] >= LENGTH - r))
         if not len(fits):
             continue
-        h = _mix(left[fits, r] * np.uint64(31) + right[fits, LENGTH - r])
-        _, first, kind = np.unique(h, return_index=True, return_inverse=True)
+        kind = np.cumsum(left < r)[place] * (n + 1) + np.cumsum(right < LENGTH - r)
+        _, first, kind = np.unique(kind[order[fits]], return_index=True, return_inverse=True)
         lead = fits[first[kind]]
-        later = fits[(place[0][fits] != place[0][lead]) | (place[1][fits] != place[1][lead])]
-        high[later] = np.where(high[later] < 0, extra["pos"][later].astype(np.int64) - r + LENGTH, high[later])
-        low[later] = extra["pos"][later].astype(np.int64) - r
+        later = fits[(doc[fits] != doc[lead]) | (pos[fits] != pos[lead])]
+        high[later] = np.where(high[later] < 0, pos[later] - r + LENGTH, high[later])
+        low[later] = pos[later] - r
     hit = high >= 0
     return _spans(extra[hit], low[hit], high[hit])
 
 
-def _merge(runs: DataFrame) -> DataFrame:
+def _merge(runs: DataFrame, ranges: int) -> DataFrame:
     """Runs by range to covered spans: (doc_id, t, spans), several rows a document."""
     names, types = ("doc_id", "t", "spans"), [pa.int64(), pa.int64(), pa.binary()]
 
-    def merge(table: pa.Table) -> pa.Table:
-        own = table.filter(pc.is_valid(table.column("spans"))).select(list(names))
-        blobs = [x.as_py() for x in table.column("run") if x.is_valid]
-        rows: list[tuple[int, int, bytes]] = []
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: list[bytes] = []
+        for b in batches:
+            yield b.filter(b.column("spans").is_valid()).select(list(names))
+            blobs += [x.as_py() for x in b.column("run") if x.is_valid]
         held: list[tuple[bytes, tuple]] = []  # distinct suffixes of whole groups so far
         group: list[tuple[bytes, tuple]] = []
         whole: list[tuple] = []
@@ -340,20 +447,22 @@ def _merge(runs: DataFrame) -> DataFrame:
                 held.extend(group)
             group.clear()
 
-        def flush() -> None:
+        def flush() -> pa.RecordBatch:
+            rows: list[tuple[int, int, bytes]] = []
             if held:
                 keys = np.frombuffer(b"".join(k for k, _ in held), np.uint8).reshape(-1, WIDTH)
-                rows.extend(_covered(keys, np.array([e for _, e in held], _EXTRA)))
+                rows += _covered(keys, np.array([e for _, e in held], _EXTRA))
                 held.clear()
             if whole:
-                rows.extend(_spans(np.array(whole, _EXTRA)))
+                rows += _spans(np.array(whole, _EXTRA))
                 whole.clear()
+            return _arrow(rows, names, types)
 
         for lcp, key, e in LoserTree([decode_run(b) for b in blobs]):
             if lcp < GRAM:
                 close()
                 if len(held) + len(whole) >= _BATCH:
-                    flush()
+                    yield flush()
             elif lcp == WIDTH and group and group[-1][1][3:] == e[3:]:
                 last = group[-1][1]
                 if (e[0], e[2]) < (last[0], last[2]):
@@ -363,35 +472,36 @@ def _merge(runs: DataFrame) -> DataFrame:
                 continue
             group.append((key, e))
         close()
-        flush()
-        return pa.concat_tables([own, pa.Table.from_batches([_arrow(rows, names, types)])])
+        yield flush()
 
-    return runs.groupBy("range").applyInArrow(merge, schema("doc_id long, t long, spans binary"))
+    return runs.repartitionById(ranges, F.col("range").cast("int")).mapInArrow(merge, schema("doc_id long, t long, spans binary"))
 
 
-def _splitters(docs: DataFrame, ranges: int) -> np.ndarray:
-    """Ends of ranges, from the anchors of about 2000 documents; they set the balance alone."""
+def _splitters(joined: DataFrame, ranges: int) -> np.ndarray:
+    """Ends of ranges, from the anchors of some documents with repeated ones; they set the balance alone."""
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at = _flat(b.column("text"))
-            where, _ = anchors(data, at)
-            yield pa.RecordBatch.from_arrays([pa.array([data[w : w + 16].tobytes() for w in where[::16]], pa.binary())], names=["head"])
+            some = [data[s + p : min(e, s + p + GRAM)].tobytes() for s, e, x in zip(at[:-1].tolist(), at[1:].tolist(), b.column("pos"), strict=True) for p in np.frombuffer(x.as_py(), "<u4")[::8].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], names=["head"])
 
-    n = docs.count()
-    some = docs.select("text").sample(min(1.0, 2000 / max(1, n)), 11).mapInArrow(heads, schema("head binary"))
-    found = np.array(sorted(bytes(r.head) for r in some.collect()) or [b"m"], "S16")
+    rows = joined.select("text", "pos").mapInArrow(heads, schema("head binary")).distinct().collect()
+    found = np.array(sorted(bytes(r.head) for r in rows) or [b"m"], f"S{GRAM}")
     return np.unique(found[(np.arange(1, ranges) * len(found)) // ranges])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, t, spans: list of packed pairs of byte offsets) for each document that holds repeated strings; t: xxhash64 of the text."""
+    """(doc_id, t, spans: list of packed pairs of byte offsets) for each document that holds repeated strings; t: xxhash64 of the text.
+
+    Repeats within a text at a period of LEFT bytes or less are for `periodic` to find.
+    """
     n = parts(docs.sparkSession)
     found = staged(repeated_anchors(docs, n), "repeated-anchors")
     drop_shuffles(docs.sparkSession)
-    found = found.groupBy("doc_id").agg(F.collect_list("pos").alias("found"))
-    runs = _runs(docs.join(found, "doc_id"), _splitters(docs, n))
-    return _merge(runs).groupBy("doc_id", "t").agg(F.collect_list("spans").alias("spans"))
+    few = found.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, found.count() // 4000))) == 0)
+    splitters = _splitters(docs.join(F.broadcast(few), "doc_id"), n)  # about 4000 rows
+    return _merge(_runs(docs.join(found, "doc_id"), splitters), n).groupBy("doc_id", "t").agg(F.collect_list("spans").alias("spans"))
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
@@ -407,26 +517,27 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part, rows = b.slice(i, 512), []
-                for key, text, packed in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
-                    data = text.encode()
-                    gone, runs = b"", 0
+            for part in slices(b, "text"):
+                data, at = _flat(part.column("text"))
+                pairs = [periodic(data, at)]
+                for s, packed in zip(at[:-1].tolist(), part.column("spans").to_pylist(), strict=True):
                     if packed:
-                        p = np.concatenate([np.frombuffer(x, "<u4").reshape(-1, 2) for x in packed]).astype(np.int64)
-                        change = np.bincount(p[:, 0], minlength=len(data) + 1)[: len(data) + 1] - np.bincount(p[:, 1], minlength=len(data) + 1)[: len(data) + 1]
-                        out = np.cumsum(change)[:-1] > 0
-                        runs = int(out[0]) + int((out[1:] & ~out[:-1]).sum())
-                        gone = np.frombuffer(data, np.uint8)[~out].tobytes()
-                    else:
-                        gone = data
-                    rows.append((None if key == _NULL else key, len(data), len(data) - len(gone), runs, gone))
-                yield _arrow(rows, ("doc_id", "n_bytes", "n_removed", "n_spans", "kept"), [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()])
+                        pairs.append(np.frombuffer(b"".join(packed), "<u4").reshape(-1, 2).astype(np.int64) + s)
+                p = np.concatenate(pairs)
+                change = np.bincount(p[:, 0], minlength=len(data) + 1) - np.bincount(p[:, 1], minlength=len(data) + 1)
+                out = np.cumsum(change)[:-1] > 0
+                first = out.copy()
+                first[1:] &= ~out[:-1]
+                inner = at[1:-1][at[1:-1] < len(data)]
+                first[inner] = out[inner]  # a run ends with its text
+                gone, runs = (np.concatenate([[0], np.cumsum(x)]) for x in (out, first))
+                kept = _binary(data[~out], at[:-1] - gone[at[:-1]])
+                keys = part.column("doc_id").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(keys, mask=keys == _NULL), pa.array(np.diff(at)), *[pa.array(np.diff(x[at])) for x in (gone, runs)], kept], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return d.join(spans, ["doc_id", "t"], "left").select("doc_id", "text", "spans").mapInArrow(cut, schema("doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"))
 
 
-
 def op5_lcp_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

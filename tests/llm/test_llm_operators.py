@@ -205,6 +205,39 @@ def test_suffixes(spark, docs, texts, empty):
     assert suffixes.drop_repeats(docs).count() == len(texts) and suffixes.drop_repeats(empty).count() == 0
 
 
+def covered(rows):
+    """Of (id, bytes) in order: which bytes lie in a 100-byte string that starts earlier too."""
+    seen, out = set(), []
+    for _, data in rows:
+        gone = np.zeros(len(data) + 1, int)
+        for i in range(len(data) - 99):
+            if data[i : i + 100] in seen:
+                gone[i] += 1
+                gone[i + 100] -= 1
+            seen.add(data[i : i + 100])
+        out.append(np.cumsum(gone)[:-1] > 0)
+    return out
+
+
+def test_suffixes_of_runs_periods_and_shared_passages(spark):
+    r = random.Random(11)
+    passage = [prose(60, 500 + i)[:n] for i, n in enumerate((99, 100, 101, 150, 400))]
+    part = lambda: r.choice([r.choice(passage), "a" * r.randrange(90, 300), *["abcdefg"[:p] * r.randrange(10, 90) for p in range(2, 8)], prose(r.randrange(1, 30), r.randrange(10**6))])
+    rows = [(k, "".join(part() for _ in range(r.randrange(1, 8)))) for k in range(300)]
+    got = {x.doc_id: x for x in suffixes.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
+    for (k, t), gone in zip(rows, covered([(k, t.encode()) for k, t in rows]), strict=True):
+        assert bytes(got[k].kept) == np.frombuffer(t.encode(), np.uint8)[~gone].tobytes()
+        assert got[k].n_spans == int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum()) and got[k].n_bytes == len(t.encode())
+
+
+def test_suffixes_of_very_long_texts(spark):
+    n = 5_000_000
+    rows = [(1, "a" * n), (2, "ab" * (n // 2)), (3, "x" + "a" * 150 + "ab" * 100)]
+    got = {x.doc_id: x for x in suffixes.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_removed, got[2].n_removed) == (n - 1, n - 2)
+    assert bytes(got[3].kept) == b"x"
+
+
 def test_loser_tree():
     r = random.Random(3)
     for k in (1, 2, 3, 7, 8):
