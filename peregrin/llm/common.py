@@ -78,6 +78,14 @@ def slices(b: pa.RecordBatch, column: str, most_bytes: int = 4 << 20, most_rows:
         at = to
 
 
+def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a text column without nulls end to end, and where each text starts (and the end)."""
+    _, ends, data = col.buffers()
+    at = np.frombuffer(ends, np.int64 if pa.types.is_large_string(col.type) else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+    return data, at - at[0]
+
+
 def schema(text: str) -> T.StructType:
     return T._parse_datatype_string(text)
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_shuffles, parts, schema, slices, staged, texts
+from .common import drop_shuffles, flat, parts, schema, slices, staged, texts
 
 LENGTH, GRAM = 100, 32
 LEFT = LENGTH - GRAM
@@ -115,14 +115,6 @@ def _sliding(of: np.ufunc, x: np.ndarray, w: int) -> np.ndarray:
     return of(x[: len(x) - (w - step)], x[w - step :]) if w > step else x
 
 
-def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a text column without nulls end to end, and where each text starts (and the end)."""
-    _, ends, data = col.buffers()
-    at = np.frombuffer(ends, np.int64 if pa.types.is_large_string(col.type) else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
-    data = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
-    return data, at - at[0]
-
-
 _REC = np.dtype([("h", "<u8"), ("doc", "<i8"), ("pos", "<u4")])
 _OCC = np.dtype([("doc", "<i8"), ("pos", "<u4")])
 
@@ -204,7 +196,7 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
 
         for b in batches:
             for part in slices(b, "text"):
-                data, at = _flat(part.column("text"))
+                data, at = flat(part.column("text"))
                 where, h = anchors(data, at)
                 d = np.searchsorted(at, where, "right") - 1
                 rec = np.empty(len(h), _REC)
@@ -360,7 +352,7 @@ def _runs(joined: DataFrame, splitters: np.ndarray) -> DataFrame:
         held, n = [], 0
         for b in batches:
             for part in slices(b, "text"):
-                data, at = _flat(part.column("text"))
+                data, at = flat(part.column("text"))
                 where = [np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in part.column("pos")]
                 d = np.repeat(np.arange(len(where)), [len(x) for x in where])
                 pos = np.concatenate([np.zeros(0, np.int64), *where])
@@ -482,7 +474,7 @@ def _splitters(joined: DataFrame, ranges: int) -> np.ndarray:
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, at = _flat(b.column("text"))
+            data, at = flat(b.column("text"))
             some = [data[s + p : min(e, s + p + GRAM)].tobytes() for s, e, x in zip(at[:-1].tolist(), at[1:].tolist(), b.column("pos"), strict=True) for p in np.frombuffer(x.as_py(), "<u4")[::8].tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], names=["head"])
 
@@ -518,7 +510,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b, "text"):
-                data, at = _flat(part.column("text"))
+                data, at = flat(part.column("text"))
                 pairs = [periodic(data, at)]
                 for s, packed in zip(at[:-1].tolist(), part.column("spans").to_pylist(), strict=True):
                     if packed:

@@ -1,6 +1,6 @@
 """Operator 1, token ids as binary files: static range asymmetric numeral system (rANS).
 
-Documents are sorted by id over range partitions, tokenised (chunks that end where the pre-tokeniser must cut are
+Documents are sorted by id over range partitions, tokenised (pieces between the pre-tokeniser's cuts are
 encoded once and remembered) and staged as blocks of plain ids. Counts of ids over all blocks, scaled to 2**20, are the
 frequency table that all blocks share; a map over the staged blocks then encodes each.
 
@@ -15,10 +15,9 @@ What reaches the driver: the table (a row an id of the vocabulary) and one total
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,101 +25,169 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_shuffles, fresh_path, parts, schema, staged, texts
+from .common import drop_shuffles, flat, fresh_path, parts, schema, slices, staged, texts
 
 BITS, LOW, LANES, EVERY, BLOCK = 20, 1 << 31, 512, 128, 1 << 17
 _MAGIC, _HEAD = b"PRANS\x00\x01\x00", struct.Struct("<8sQIIII")
 _BLOCKS = "part int, block int, first long, n_tokens long, doc_ids binary, doc_lens binary, payload binary"
 
 
-class Chunked:
+#: Of each byte: 0 white space, 1 letter (ASCII, or part of one from U+00C0 to U+017F), 2 digit, 3 any other; 4 where this can't tell.
+_KIND = np.full(256, 4, np.uint8)
+_KIND[:0x80] = 3
+_KIND[[*range(0x1C, 0x20)]] = 4
+_KIND[[*b" \t\n\x0b\x0c\r"]] = 0
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5]] = 1
+_KIND[[*range(0x30, 0x3A)]] = 2
+
+
+def cut_words(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the byte-level pre-tokeniser cuts texts end to end, all of whose bytes _KIND tells (and that hold neither U+00D7 nor U+00F7).
+
+    Its pieces are runs of letters, digits or others, with a space before them if there is one; white space but
+    for the last before something else; and the endings that follow an apostrophe.
+    """
+    kind = _KIND[data]
+    new = np.ones(len(data) + 1, bool)
+    new[1:-1] = kind[1:] != kind[:-1]
+    new[at] = True
+    after = np.flatnonzero(new[1:-1] & (kind[1:] != 0) & (kind[:-1] == 0)) + 1  # something that follows white space ...
+    after = after[~np.isin(after, at)]  # ... of its own text
+    new[after - 1] = True
+    new[after] = data[after - 1] != 0x20
+    end = np.zeros(len(data) + 4, np.uint8)
+    end[: len(data)] = data
+    quote = np.flatnonzero((data == 0x27) & new[:-1] & new[1:])
+    quote = quote[~np.isin(quote + 1, at)]
+    x, y = end[quote + 1], end[quote + 2]
+    one = np.isin(x, np.frombuffer(b"stmd", np.uint8))
+    two = (((x == 0x72) | (x == 0x76)) & (y == 0x65) | (x == 0x6C) & (y == 0x6C)) & ~np.isin(quote + 2, at)
+    new[quote[one | two] + 1] = False
+    new[quote[one] + 2] = True
+    new[quote[two] + 3] = True
+    return np.flatnonzero(new[:-1])
+
+
+class Encoder:
     """Encodes texts with a tokenizers file whose pre-tokeniser is the byte-level one without prefix space.
 
-    That one always cuts before a single space that a visible character follows, so texts are split there, and each
-    distinct chunk is encoded once while remembered. Two generations of at most `most` chunks are kept: a chunk
-    that is not met again during one generation is forgotten, so memory stays bounded.
+    Texts are cut where that one cuts, and each distinct piece of a slice is encoded by the library once, and remembered if short:
+    at most `most` pieces, of which those not met again since the last clearance are forgotten when there are too many.
+    Texts with bytes that _KIND can't tell, or with an added token, are encoded whole.
     """
 
-    #: Only where these follow is a space sure to start a chunk: visible ASCII and Latin letters.
-    LONG = 10
-    _CUT, _ODD = re.compile(" (?=[!-~¡-ɏ])"), " [^!-~¡-ɏ]| $"
+    LONG = 32
 
-    def __init__(self, path: str, most: int = 120_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tok, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.bare.encode_special_tokens = True  # chunks that are encoded together can't make up an added token
+        self.bare.encode_special_tokens = True  # pieces that are encoded together can't make up an added token
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.most, self.young, self.old = most, {}, {}
-        self.leads = np.zeros(self.tok.get_vocab_size(), bool)
-        self.leads[[i for t, i in self.tok.get_vocab().items() if t[:1] == "\u0120"]] = True  # how the vocabulary writes a space
-
-    def _each(self, chunks: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.bare.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def _after_space(self, words: list[str]) -> list[bytes]:
-        """The ids of " " + word, for distinct words. Words of over LONG characters seldom return and aren't kept."""
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        new = [w for w in words if w not in young]
-        if old:
-            young.update((w, old[w]) for w in new if w in old)
-            new = [w for w in new if w not in old]
-        plain = [w for w in new if w and " " not in w]
-        passing = {}
-        for i in range(0, len(plain), 4096):  # a space starts each of these and stands nowhere else: one call encodes them all
-            some = plain[i : i + 4096]
-            ids = np.asarray(self._whole(" " + " ".join(some)), "<u4")
+        vocabulary = self.tok.get_vocab()
+        self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.leads[[i for t, i in vocabulary.items() if t[:1] == "\u0120"]] = True  # how the vocabulary writes a space
+        line = self._ids("\n")
+        self.line = int(line[0]) if len(line) == 1 else None
+        self.most = most
+        self.words, self.lists, self.met = pa.array([], pa.string()), pa.array([], pa.list_(pa.uint32())), np.zeros(0, bool)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _together(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces end to end, and the number of ids of each; pieces that a space starts cut themselves, others are set apart by line ends."""
+        spaced = pieces[0][0] == " "
+        ids = self._ids("".join(pieces) if spaced else "\n".join(pieces))
+        if spaced:
             at = np.flatnonzero(self.leads[ids])
-            if len(at) != len(some):
-                raise ValueError("this vocabulary doesn't cut before spaces")
-            data, at = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
-            for w, s, e in zip(some, at, at[1:], strict=False):
-                (young if len(w) <= self.LONG else passing)[w] = data[s:e]
-        new = [w for w in new if not w or " " in w]
-        passing.update(zip(new, self._each([" " + w for w in new]), strict=True))
-        if not passing:
-            return list(map(young.__getitem__, words))
-        return [passing[w] if w in passing else young[w] for w in words]
-
-    def _whole(self, text: str) -> list[int]:
-        return self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def _join(self, words: pa.Array, at: np.ndarray) -> list[np.ndarray]:
-        """The ids of texts whose words stand at at[i] to at[i + 1]; all but the first of a text follow a space."""
-        firsts = self._each(words.take(pa.array(at[:-1])).to_pylist())
-        coded = words.dictionary_encode()
-        kinds = self._after_space(coded.dictionary.to_pylist()) + firsts
-        which = coded.indices.to_numpy().astype(np.int64)
-        which[at[:-1]] = len(coded.dictionary) + np.arange(len(firsts))
-        lens = np.fromiter(map(len, kinds), np.int64, len(kinds)) // 4
-        starts, n = np.cumsum(lens) - lens, lens[which]
-        ends = np.cumsum(n)
-        ids = np.frombuffer(b"".join(kinds), "<u4")[np.repeat((starts[which] - ends + n).astype(np.int32), n) + np.arange(int(ends[-1]), dtype=np.int32)]
-        return np.split(ids, ends[at[1:-1] - 1])
+            size = np.diff(at, append=len(ids))
+        else:
+            at = np.concatenate([[-1], np.flatnonzero(ids == self.line)])
+            size = np.diff(at, append=len(ids)) - 1
+            ids = ids[ids != self.line]
+        if len(size) != len(pieces):
+            raise ValueError("this vocabulary doesn't cut before spaces and around line ends")
+        return ids, size
+
+    def _new(self, pieces: pa.Array) -> pa.Array:
+        """Ids of distinct pieces, in their order."""
+        first, size = pc.utf8_slice_codeunits(pieces, 0, 1), pc.utf8_length(pieces).to_numpy()
+        white = pc.match_substring_regex(pieces, r"^[ \t\n\v\f\r]+$").to_numpy(zero_copy_only=False)
+        spaced = pc.equal(first, " ").to_numpy(zero_copy_only=False) & ~white & (size > 1)
+        n, got, where = np.zeros(len(pieces), np.int64), [], []
+        for kind in (spaced, ~spaced & ~white):
+            if self.line is None:
+                continue
+            at = np.flatnonzero(kind)
+            for i in range(0, len(at), 4096):
+                ids, n[at[i : i + 4096]] = self._together(pieces.take(pa.array(at[i : i + 4096])).to_pylist())
+                got.append(ids)
+            where.append(at)
+        alone = np.flatnonzero(white) if self.line is not None else np.arange(len(pieces))
+        for e in self.bare.encode_batch_fast(pieces.take(pa.array(alone)).to_pylist(), add_special_tokens=False):
+            got.append(np.asarray(e.ids, np.uint32))
+        n[alone] = [len(g) for g in got[len(got) - len(alone) :]] if len(alone) else []
+        where.append(alone)
+        order = np.concatenate(where).astype(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[order])]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.uint32), *got])))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return lists.take(pa.array(back))
+
+    def _known(self, kinds: pa.Array) -> pa.Array:
+        """Ids of distinct pieces."""
+        at = pc.index_in(kinds, value_set=self.words)
+        new = pc.is_null(at).to_numpy(zero_copy_only=False)
+        self.met[at.drop_null().to_numpy()] = True
+        pieces = kinds.filter(pa.array(new))
+        ids = self._new(pieces)
+        place = at.fill_null(0).to_numpy().astype(np.int64)
+        place[new] = len(self.words) + np.arange(len(pieces))
+        out = pa.concat_arrays([self.lists, ids]).take(pa.array(place))
+        short = pa.array(pc.binary_length(pieces).to_numpy() <= self.LONG)
+        if len(self.words) + len(pieces) > self.most:
+            stay = pa.array(self.met)
+            self.words, self.lists = self.words.filter(stay), self.lists.filter(stay)
+            self.met = np.zeros(len(self.words), bool)
+            if len(self.words) > self.most // 2:
+                self.words, self.lists, self.met = self.words[:0], self.lists[:0], self.met[:0]
+        self.words, self.lists = pa.concat_arrays([self.words, pieces.filter(short)]), pa.concat_arrays([self.lists, ids.filter(short)])
+        self.met = np.concatenate([self.met, np.zeros(len(self.words) - len(self.met), bool)])
+        return out
+
+    def _cut(self, col: pa.Array) -> list[np.ndarray]:
+        data, at = flat(col)
+        starts = cut_words(data, at)
+        ends = pa.py_buffer(np.append(starts, len(data)).astype(np.int32).tobytes())
+        coded = pa.Array.from_buffers(pa.string(), len(starts), [None, ends, pa.py_buffer(data)]).dictionary_encode()
+        lists = self._known(coded.dictionary).take(coded.indices)
+        return np.split(lists.values.to_numpy(), lists.offsets.to_numpy()[np.searchsorted(starts, at[1:-1])])
 
     def __call__(self, col: pa.Array) -> list[np.ndarray]:
-        """The ids of each text; one that holds an added token is encoded whole."""
-        col = col.cast(pa.string()) if len(col) else col
+        """The ids of each text of a column without nulls."""
+        if not len(col):
+            return []
+        col = col.cast(pa.string())
+        data, at = flat(col)
+        odd = np.flatnonzero(_KIND[data] == 4)
+        odd = np.concatenate([odd, np.flatnonzero((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))])
         whole = np.zeros(len(col), bool)
-        for t in self.added if len(col) else ():
+        whole[np.searchsorted(at, odd, "right") - 1] = True
+        for t in self.added:
             whole |= pc.match_substring(col, t).to_numpy(zero_copy_only=False)
-        odd = pc.match_substring_regex(col, self._ODD).to_numpy(zero_copy_only=False)
         out: list[np.ndarray | None] = [None] * len(col)
         for i in np.flatnonzero(whole).tolist():
-            out[i] = np.asarray(self.tok.encode(col[i].as_py(), add_special_tokens=False).ids, "<u4")
-        for where, lists in ((np.flatnonzero(~odd & ~whole), None), (np.flatnonzero(odd & ~whole), self._CUT)):
-            if len(where):
-                some = col.take(pa.array(where))
-                lists = pa.array([lists.split(t) for t in some.to_pylist()], pa.list_(pa.string())) if lists else pc.split_pattern(some, " ")
-                for i, ids in zip(where, self._join(lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])), strict=True):
-                    out[i] = ids
+            out[i] = np.asarray(self.tok.encode(col[i].as_py(), add_special_tokens=False).ids, np.uint32)
+        plain = np.flatnonzero(~whole)
+        if len(plain):
+            for i, ids in zip(plain.tolist(), self._cut(col.take(pa.array(plain)) if len(plain) < len(col) else col), strict=True):
+                out[i] = ids
         return out
 
 
 #: A worker process keeps what it has learned for the tasks to come.
-_LEARNED: dict[str, Chunked] = {}
+_LEARNED: dict[str, Encoder] = {}
 
 
 def scaled(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -218,15 +285,14 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, enc = TaskContext.get().partitionId(), _LEARNED.setdefault(vocabulary, None) or Chunked(vocabulary)
+        part, enc = TaskContext.get().partitionId(), _LEARNED.setdefault(vocabulary, None) or Encoder(vocabulary)
         _LEARNED[vocabulary] = enc
         block = first = n = 0
         held: list[np.ndarray] = []
         keys: list[int] = []
         lens: list[int] = []
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                some = b.slice(at, 1024)
+            for some in slices(b, "text"):
                 for key, got in zip(some.column("doc_id").to_pylist(), enc(some.column("text")), strict=True):
                     held += [got, end]
                     keys.append(_NULL if key is None else key)
@@ -240,7 +306,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
             yield _row(part, block, first, n, np.array(keys, "<i8").tobytes(), np.array(lens, "<i8").tobytes(), np.concatenate(held).astype(kind).tobytes())
 
     end = np.array([end_id], np.uint32)
-    kind = "<u2" if max(Chunked(vocabulary).tok.get_vocab_size(), end_id) <= 1 << 16 else "<u4"
+    kind = "<u2" if max(len(Encoder(vocabulary).leads), end_id + 1) <= 1 << 16 else "<u4"
     ordered = texts(docs).repartitionByRange(parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     raw = staged(ordered.mapInArrow(tokenise, schema(_BLOCKS)), "raw-tokens")
     del ordered
@@ -282,8 +348,11 @@ def _arrow() -> pa.Schema:
     return pa.schema([("part", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.binary()), ("doc_lens", pa.binary()), ("payload", pa.binary())])
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row a document: doc_id, start (ids before it), n_tokens, ids (array<int>). Blocks are decoded apart."""
+_Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _decoding(spark: SparkSession, path: str) -> tuple[DataFrame, _Batches]:
+    """The blocks, and what decodes them."""
     t = spark.read.parquet(f"{path}/table").first()
     ids, freq = np.array(t.ids, np.uint32), np.array(t.freq, np.uint64)
     blocks = spark.read.schema(schema(_BLOCKS)).parquet(f"{path}/blocks")
@@ -303,19 +372,29 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(got))
                 yield pa.RecordBatch.from_arrays([key, pa.array(offsets[row["part"]] + row["first"] + ends - lens), pa.array(lens), lists], names=["doc_id", "start", "n_tokens", "ids"])
 
+    return blocks, decode
+
+
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """One row a document: doc_id, start (ids before it), n_tokens, ids (array<int>). Blocks are decoded apart.
+
+    Null ids come back null, documents without text have the end id alone, and files of an empty table give no rows.
+    """
+    blocks, decode = _decoding(spark, path)
     return blocks.mapInArrow(decode, schema("doc_id long, start long, n_tokens long, ids array<int>"))
 
 
-def ids_crc32(df: DataFrame) -> DataFrame:
-    """Replace ids by ids_crc32: that of the ids as little-endian unsigned 32-bit integers."""
+def read_digests(spark: SparkSession, path: str) -> DataFrame:
+    """As read_token_files, but ids_crc32 instead of the ids: that of them as little-endian unsigned 32-bit integers, in the worker that decodes them."""
+    blocks, decode = _decoding(spark, path)
 
     def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, flat = b.column("ids").offsets.to_numpy(), b.column("ids").values.to_numpy()
-            sums = [zlib.crc32(flat[s:e].astype("<u4").tobytes()) for s, e in zip(at[:-1], at[1:], strict=True)]
+        for b in decode(batches):
+            at, flat_ids = b.column("ids").offsets.to_numpy(), b.column("ids").values.to_numpy().astype("<u4", copy=False)
+            sums = [zlib.crc32(flat_ids[s:e]) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return df.mapInArrow(crc, schema("doc_id long, start long, n_tokens long, ids_crc32 long"))
+    return blocks.mapInArrow(crc, schema("doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 
 def op1_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,4 +402,4 @@ def op1_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = fresh_path(spark, "tokens")
     write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.path("byte_bpe_50k.json"))
-    return ids_crc32(read_token_files(spark, path))
+    return read_digests(spark, path)

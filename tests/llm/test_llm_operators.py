@@ -63,10 +63,12 @@ def test_shards(docs, texts, empty):
 
 
 def test_token_files(spark, docs, texts, empty, tmp_path):
+    from tokenizers import Tokenizer
+
     path = tokens.path("byte_bpe_50k.json")
     token_files.write_token_files(docs, f"file://{tmp_path}/a", path)
     r = token_files.read_token_files(spark, f"file://{tmp_path}/a").orderBy("start").collect()
-    enc = token_files.Chunked(path).tok
+    enc = Tokenizer.from_file(path)
     want = [[*enc.encode(t or "", add_special_tokens=False).ids, 0] for _, t in sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))]
     assert [x.ids for x in r] == want
     assert [x.start for x in r] == np.cumsum([0, *map(len, want)])[:-1].tolist()
@@ -80,7 +82,23 @@ def test_added_tokens_are_the_library_s():
     path = tokens.path("byte_bpe_50k.json")
     fresh = Tokenizer.from_file(path)
     rows = ["a <|endoftext|> b", "plain words", "x<|endoftext|>", "", "é <|endoftext|>  日本 \n", "<|endof text|>"]
-    assert [x.tolist() for x in token_files.Chunked(path)(pa.array(rows))] == [fresh.encode(t, add_special_tokens=False).ids for t in rows]
+    assert [x.tolist() for x in token_files.Encoder(path)(pa.array(rows))] == [fresh.encode(t, add_special_tokens=False).ids for t in rows]
+
+
+def test_pieces_are_the_library_s():
+    from tokenizers import Tokenizer
+
+    path = tokens.path("byte_bpe_50k.json")
+    fresh, enc = Tokenizer.from_file(path), token_files.Encoder(path, 3000)
+    r = random.Random(5)
+    bits = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "a", "the", "Zz", "é", "Ü", "ſ", "12", "7", ".", ",", "--", "'", "''", "'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'S", "'l", "'r", "it's", " 's", "x'sun", "²", "×", "÷", "\xa0", "日", "😀", "\x1c", "\x00", "$#", "<|endoftext|>", "<|", "|>"]
+    rows = ["", "'", "'s", " ", "\n", "a'", "'l", "'re", "x" * 5000]
+    plain = [b for b in bits if not set(b) & set("²×÷\xa0日😀\x1c<>")]
+    rows += ["".join(r.choice(plain if r.random() < 0.9 else bits) for _ in range(r.randrange(1, 30))) for _ in range(6000)]
+    rows += [prose(50, i) for i in range(50)]
+    for i in range(0, len(rows), 500):
+        got = enc(pa.array(rows[i : i + 500]))
+        assert [x.tolist() for x in got] == [fresh.encode(t, add_special_tokens=False).ids for t in rows[i : i + 500]]
 
 
 def test_coder():
