@@ -186,10 +186,16 @@ class Encoder:
         return out
 
 
-#: A worker process keeps what it has learned for the tasks to come.
 _LEARNED: dict[str, Encoder] = {}
 
 
+def learned(path: str) -> Encoder:
+    """The worker process's own encoder: it keeps what it has learned for the tasks to come."""
+    if path not in _LEARNED:
+        _LEARNED[path] = Encoder(path)
+    return _LEARNED[path]
+
+
 def scaled(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Ids in ascending order and their frequencies: 1 at least each, 2**BITS in all."""
     ids = np.array(sorted(counts), np.uint32)
@@ -285,8 +291,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, enc = TaskContext.get().partitionId(), _LEARNED.setdefault(vocabulary, None) or Encoder(vocabulary)
-        _LEARNED[vocabulary] = enc
+        part, enc = TaskContext.get().partitionId(), learned(vocabulary)
         block = first = n = 0
         held: list[np.ndarray] = []
         keys: list[int] = []
