@@ -130,32 +130,65 @@ def test_leaks(spark, docs, empty):
 
 def test_edit_distance():
     r = random.Random(2)
-    for _ in range(100):
-        a, b = ([r.randrange(1, 5) for _ in range(r.randrange(1, 8))] for _ in range(2))
-        best = min(_levenshtein(a, b[i:j]) for i in range(len(b) + 1) for j in range(i, len(b) + 1))
-        n, s, e = decontaminate.edit_distance_within(np.array(a, np.uint64), np.array(b, np.uint64))
-        assert n == best == _levenshtein(a, b[s:e])
+    for n in range(1, 8):
+        pairs = [([r.randrange(1, 5) for _ in range(n)], [r.randrange(1, 5) for _ in range(r.randrange(1, 8))]) for _ in range(50)]
+        edits, starts, ends = decontaminate.best_runs(np.array([a for a, _ in pairs], np.uint64), np.array([b + [0] * (8 - len(b)) for _, b in pairs], np.uint64))
+        for (a, b), k, s, e in zip(pairs, edits, starts, ends, strict=True):
+            assert k == min(_levenshtein(a, b[i:j]) for i in range(len(b) + 1) for j in range(i, len(b) + 1)) == _levenshtein(a, b[s:e]) and e <= len(b)
 
 
-def test_leaks_of_every_length_at_the_bound():
+def edited(words, kinds, r, letters):
+    """words with as many edits as are allowed, at random places."""
+    x = words.tolist()
+    for j, p in enumerate(sorted(r.choice(len(words), len(words) // 5, replace=False).tolist(), reverse=True)):
+        kind = kinds[j % len(kinds)]
+        x[p : p + (kind != 2)] = letters(1).tolist() if kind != 1 else []  # 0 replaced, 1 taken out, 2 put in
+    return np.array(x, np.uint64)
+
+
+def test_recall_of_every_item_and_kind_of_edit_at_the_bound():
     r = np.random.default_rng(4)
     letters = lambda n: r.integers(1, 2**63, n, dtype=np.uint64)
-    items = [(i, letters(n)) for i, n in enumerate([15] * 60 + [40] * 20 + [100] * 10 + [300] * 10)]
-    index = decontaminate.Index(items)
-    found = collections.defaultdict(list)
-    for i, w in items:
-        k = len(w) // 5
-        for kinds in ([0, 1, 2], [0, 0, 0, 1], [1, 1, 1, 2]):
-            x = w.tolist()
-            for j, p in enumerate(sorted(r.choice(len(w), k, replace=False).tolist(), reverse=True)):
-                kind = kinds[j % len(kinds)]
-                x[p : p + (kind != 0)] = letters(1).tolist() if kind < 2 else []
-            text = np.concatenate([letters(50), np.array(x, np.uint64), letters(50)])
-            hit = [f for f in index.search(text) if f[0] == i]
-            assert all(f[3] <= k for f in hit)
-            found[len(w)].append(bool(hit))
-    assert all(np.mean(x) >= 0.97 for x in found.values()), {n: np.mean(x) for n, x in found.items()}
-    assert all(found[300])
+    items = [(i, letters(n)) for i, n in enumerate([1, 3, 5, 7, 9, 12, *range(15, 60, 4), 100, 300])]
+    index, trials = decontaminate.Index(items), 60
+    for kinds in ([0], [1], [2], [0, 1, 2]):
+        rows = [np.concatenate([letters(50), edited(w, kinds, r, letters), letters(50)]) for _, w in items for _ in range(trials)]
+        at = np.concatenate([[0], np.cumsum([len(x) for x in rows])])
+        got = collections.Counter()
+        for d, i, start, n, edits in index.search(np.concatenate(rows), at):
+            assert d // trials == i and edits <= len(items[i][1]) // 5 and start + n <= len(rows[d])
+            got[i] += 1
+        assert all(got[i] >= 0.9 * trials for i, _ in items), (kinds, got)
+
+
+def test_leaks_against_brute_force(spark):
+    r = random.Random(8)
+    pick = lambda n: [r.choice("abcdefghij") for _ in range(n)]
+    items = [(i, " ".join(pick(n))) for i, n in enumerate((1, 2, 4, 5, 6, 8, 10, 12, 15, 16))]
+    rows = []
+    for k in range(80):
+        x = pick(r.randrange(0, 25))
+        w = r.choice(items)[1].split()
+        for _ in range(r.randrange(0, len(w) // 5 + 2)):
+            p = r.randrange(len(w)) if w else 0
+            w[p : p + r.randrange(2)] = pick(r.randrange(2))
+        rows.append((k, " ".join(x + w + pick(r.randrange(0, 5)))))
+    want = {}
+    for k, t in rows:
+        for i, a in items:
+            a, b = a.split(), t.split()
+            least = min(_levenshtein(a, b[s:e]) for s in range(len(b) + 1) for e in range(s, len(b) + 1))
+            if least <= len(a) // 5:
+                want[k, i] = least
+    letters = {i: decontaminate.word_hashes(pa.array([a]))[0] for i, a in items}
+    h, at = decontaminate.word_hashes(pa.array([t for _, t in rows]))
+    whole = decontaminate.Index(list(letters.items()), most=0)
+    assert {(rows[d][0], i): e for d, i, _, _, e in whole.search(h, at)} == want
+    got = {}
+    for block in (200_000, 20):
+        found = decontaminate.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block).collect()
+        got[block] = {(x.doc_id, x.item_id): x.edits for x in found}
+        assert set(got[block]) <= set(want) and len(got[block]) >= 0.95 * len(want) and all(got[block][k] >= want[k] for k in got[block])
 
 
 def _levenshtein(a, b):
