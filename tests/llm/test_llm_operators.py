@@ -322,6 +322,37 @@ def test_warc(spark, tmp_path):
     plain = zip_.compress(warc._record(1, "u", b"x", None, "D")) + zip_.flush()
     (tmp_path / "p.warc.gz").write_bytes(plain + plain)
     assert warc.read_warc(spark, f"file://{tmp_path}/p.warc.gz").count() == 2
+    with pytest.raises(Exception, match="digest"):
+        warc.read_warc(spark, f"file://{tmp_path}/p.warc.gz", payload=False, verify=True).count()
+    assert warc.read_warc(spark, path, payload=False, verify=True).where("payload is null").count() == len(rows)
+
+
+def test_warc_of_others(spark, tmp_path):
+    head = b"WARC/1.0\r\nwarc-type: %s\r\nWARC-RECORD-ID:  <urn:%d>\r\nContent-Length: %d\r\nX: a\r\n b: c\r\n\r\n"
+    rows = [(b"warcinfo", b"software: x"), (b"response", b"HTTP/1.1 200 OK\r\nCONTENT-LENGTH: 5\r\n\r\nhello"), (b"resource", b"y" * 100_000), (b"request", b"GET / HTTP/1.1\r\n\r\n"), (b"metadata", b""), (b"revisit", b"HTTP/1.1 200 OK\r\nContent-Length: 5\r\n\r\n"), (b"conversion", b"z")]
+    records = [head % (t, i, len(x)) + x + b"\r\n\r\n" for i, (t, x) in enumerate(rows)]
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/x.warc").write_bytes(b"".join(records))
+    (tmp_path / "a/y.warc.gz").write_bytes(b"".join(warc.gzip_member(x) for x in records))
+    d = warc.read_warc(spark, f"file://{tmp_path}/a")
+    got = collections.Counter((r.record_type, r.record_id, None if r.payload is None else bytes(r.payload)) for r in d.collect())
+    body = {b"response": b"hello", b"revisit": None}
+    assert got == {(t.decode(), f"<urn:{i}>", body.get(t, x)): 2 for i, (t, x) in enumerate(rows)}
+    assert d.where("payload is not null").count() == 12 and d.where("record_type = 'resource' and payload is not null").count() == 2
+
+
+def test_warc_attempts(spark, tmp_path):
+    """Files that no manifest names, as of a failed or doubled attempt, are not read; those it names must be there."""
+    pages = spark.createDataFrame([(i, "u", f"page {i}") for i in range(20)], "page_id long, url string, html string").repartition(3)
+    path = tmp_path / "w"
+    assert warc.write_warc(pages, f"file://{path}") == 20
+    files = sorted(path.glob("*.warc.gz"))
+    (path / "part-00000-0000-other.warc.gz").write_bytes(files[0].read_bytes())
+    (path / "part-00001-0000-torn.warc.gz").write_bytes(files[0].read_bytes()[:30])
+    assert warc.read_warc(spark, f"file://{path}").count() == 20
+    files[0].unlink()
+    with pytest.raises(Exception, match="manifest"):
+        warc.read_warc(spark, f"file://{path}").count()
 
 
 def test_quality(spark, docs, texts, empty):
