@@ -392,10 +392,19 @@ def test_chat_round_trip(spark):
     rows = [(1, i, r, t) for i, (t, r) in enumerate(zip(odd, ["user", "assistant", "assistant", None, "a: b", "system", "assistant", "user"], strict=True))]
     rows += [(2, 0, "user", "x"), (2, 0, "user", "x"), (None, 1, "user", "y"), (3, None, "assistant", "z")]
     d = spark.createDataFrame([(*r, "k", 7) for r in rows], "conv_id long, turn long, role string, text string, head string, msg long")
-    back = {r.conv_id: r for r in chat.read_back(chat.render(chat.fold_events(chat.turns_to_events(d)))).collect()}
+    folded = lambda d, n=512: chat.fold_events(chat.turns_to_events(d, n, True), chat.TURN)
+    for n in (1, 3, 512):  # drafts, edits and regenerations leave no trace
+        assert sorted(map(str, folded(d, n).collect())) == sorted(map(str, chat.fold_events(chat.turns_to_events(d), chat.TURN).collect()))
+    kinds = {r.kind for r in chat.turns_to_events(d, 512, True).select("kind").distinct().collect()}
+    assert kinds == {"open", "delta", "edit", "regenerate"}
+    rendered = chat.render(folded(d), message=chat.TURN)
+    for r in rendered.collect():
+        escaped = [x.split(": ", 1)[1] for x in r.formatted.split(chat.TAIL)[:-1]]
+        assert [r.formatted[s.offset : s.offset + s.length] for s in r.loss] == [escaped[s.turn] for s in r.loss]
+    back = {r.conv_id: r for r in chat.read_back(rendered).collect()}
     assert [(t.role, t.text) for t in back[1].turns] == [(r or "", t or "") for _, _, r, t in rows[:8]]
     assert back[1].learned == ["", odd[2], odd[6]] and len(back[2].turns) == 2 and back[3].learned == ["z"]
-    assert chat.read_back(chat.render(chat.fold_events(chat.turns_to_events(d.where("false"))))).count() == 0
+    assert chat.read_back(chat.render(folded(d.where("false")), message=chat.TURN)).count() == 0
 
 
 def test_minhash(docs, texts, empty):
