@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import schema, slices, staged, texts, word_hashes
 
-EDITS, SAMPLES, RECALL, MOST_REPEATS, BLOCK_WORDS = 0.2, 2, 0.98, 128, 200_000
+EDITS, SAMPLES, RECALL, MOST_REPEATS, BLOCK_WORDS = 0.2, 2, 0.99, 128, 200_000
 #: Calibration: trials an item and mix; shares of words replaced, taken out and put in.
 TRIALS, MIXES = 400, ((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0), (1 / 3, 1 / 3, 1 / 3))
 PUNCTUATION = ".,;:!?\"'()[]{}|#*$%&<>-_/\\"
@@ -94,15 +94,19 @@ def grams(h: np.ndarray, q: int) -> np.ndarray:
 
 
 class Lookup:
-    """Which of a sorted array of hashes a value is; a bit for each value of the upper 20 bits keeps most others out."""
+    """Which of a sorted array of hashes a value is; a bit for each value of the upper bits keeps most others out."""
 
     def __init__(self, known: np.ndarray):
-        self.known, self.maybe = known, np.zeros(1 << 20, bool)
-        self.maybe[(known >> np.uint64(44)).astype(np.int64)] = True
+        bits = min(20, max(12, len(known).bit_length() + 6))
+        self.known, self.shift, self.maybe = known, np.uint64(64 - bits), np.zeros(1 << bits, bool)
+        self.maybe[(known >> self.shift).astype(np.int64)] = True
+
+    def __reduce__(self) -> tuple:  # only the hashes are shipped
+        return Lookup, (self.known,)
 
     def __call__(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in x of values that are known, and the first place of each in the array."""
-        at = np.flatnonzero(self.maybe[(x >> np.uint64(44)).view(np.int64)])
+        at = np.flatnonzero(self.maybe[(x >> self.shift).view(np.int64)])
         which = np.searchsorted(self.known, x[at])
         real = self.known[np.minimum(which, len(self.known) - 1)] == x[at] if len(at) else np.zeros(0, bool)
         return at[real], which[real]
