@@ -1,20 +1,22 @@
 """Cleaning: filters, re-identification by gaps, folds over a trajectory, smoothing.
 
 Fixes are rows id, seq, t (seconds), lon, lat and whatever else; a trajectory is the rows of an id in the order (t, seq).
-Windows share that partitioning, so a chain of them shuffles once. Folds that must know the last *kept* point run in a
-grouped kernel over one trajectory; everything else is expressions.
+Windows share that partitioning, so a chain of them shuffles once. Folds that must know the last *kept* point stream over sorted
+partitions, batch by batch, and carry that point along; everything else is expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from math import asin, cos, isnan, sin, sqrt
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..functions.ranks import numbered, quantiles
 
 ORDER = ("t", "seq")
 
@@ -52,12 +54,17 @@ def swap_repair(d: DataFrame, strict: bool = True) -> DataFrame:
 
 def auto_bbox(d: DataFrame, low: float = 0.001, high: float = 0.999) -> DataFrame:
     """Rows within the exact quantiles of both axes over the whole table, inclusive."""
-    q = d.agg(F.percentile("lon", F.array(F.lit(low), F.lit(high))).alias("qx"), F.percentile("lat", F.array(F.lit(low), F.lit(high))).alias("qy"))
-    d = d.crossJoin(F.broadcast(q))  # one row
-    return d.where((F.col("lon") >= F.col("qx")[0]) & (F.col("lon") <= F.col("qx")[1]) & (F.col("lat") >= F.col("qy")[0]) & (F.col("lat") <= F.col("qy")[1])).drop("qx", "qy")
+    q = quantiles(d, {"lon": [low, high], "lat": [low, high]}).get(None, {})
+    for c, (least, most) in q.items():
+        d = d.where((F.col(c) >= least) & (F.col(c) <= most))
+    return d
+
 
+#: The box of the cities' fixes.
+WEST, EAST, SOUTH, NORTH = 113, 115, 22, 23
 
-def fixed_bbox(d: DataFrame, west: float = 113, east: float = 115, south: float = 22, north: float = 23) -> DataFrame:
+
+def fixed_bbox(d: DataFrame, west: float = WEST, east: float = EAST, south: float = SOUTH, north: float = NORTH) -> DataFrame:
     return d.where(F.col("lon").between(west, east) & F.col("lat").between(south, north))
 
 
@@ -100,37 +107,47 @@ def redundant_clean(d: DataFrame) -> DataFrame:
 
 def _hav(lon1: float, lat1: float, lon2: float, lat2: float) -> float:
     r = 0.017453292519943295
-    a = np.sin((lat2 - lat1) * r / 2) ** 2 + np.cos(lat1 * r) * np.cos(lat2 * r) * np.sin((lon2 - lon1) * r / 2) ** 2
-    return 2 * 6371000.0 * np.arcsin(np.sqrt(min(1.0, a)))
+    f, g = sin((lat2 - lat1) * r / 2), sin((lon2 - lon1) * r / 2)
+    return 2 * 6371000.0 * asin(sqrt(min(1.0, f * f + cos(lat1 * r) * cos(lat2 * r) * g * g)))
 
 
 def _geo(lon1: float, lat1: float, lon2: float, lat2: float) -> float:
     return float(geo.vincenty(np.array([lon1]), np.array([lat1]), np.array([lon2]), np.array([lat2]))[0])
 
 
-DISTANCES: dict[str, Callable[[float, float, float, float], float]] = {"haversine": _hav, "geodesic": _geo}
+def _geo_steps(lon: np.ndarray, lat: np.ndarray) -> list[float]:
+    """Metres from each point to the next."""
+    return geo.vincenty(lon[:-1], lat[:-1], lon[1:], lat[1:]).tolist()
+
 
+#: Of a pair of points, and where it pays of all neighbours at a time.
+DISTANCES: dict[str, tuple[Callable[[float, float, float, float], float], Callable[[np.ndarray, np.ndarray], list[float]] | None]] = {"haversine": (_hav, None), "geodesic": (_geo, _geo_steps)}
 
-def fold(d: DataFrame, keep: Callable[[float, float, float], bool], distance: str = "haversine", same_drops: bool = False) -> DataFrame:
+
+def fold(d: DataFrame, keep: Callable[[float, float], bool], distance: str = "haversine", same_drops: bool = False) -> DataFrame:
     """Keep the first point of each trajectory and every point for which keep(seconds, metres since the last kept one) holds.
 
     keep gets NaN metres where the distance is not defined. same_drops: a point at the place of the last kept one goes first.
+    Partitions are sorted by id and time and read as a stream, so a trajectory may be of any length: only the last kept point is held.
     """
-    far, columns = DISTANCES[distance], d.columns
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(list(ORDER), kind="stable")
-        t, x, y = p["t"].to_numpy(), p["lon"].to_numpy(), p["lat"].to_numpy()
-        kept, last = [0] if len(p) else [], 0
-        for i in range(1, len(p)):
-            if same_drops and x[i] == x[last] and y[i] == y[last]:
-                continue
-            if keep(float(t[i] - t[last]), far(x[last], y[last], x[i], y[i])):
-                kept.append(i)
-                last = i
-        return p.iloc[kept][columns]
-
-    return d.groupBy("id").applyInPandas(run, d.schema)
+    far, steps = DISTANCES[distance]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        me, lt, lx, ly = None, 0.0, 0.0, 0.0
+        for b in batches:
+            ids, t, x, y = (b.column(c).to_pylist() for c in ("id", "t", "lon", "lat"))
+            ahead = steps(*(b.column(c).to_numpy(zero_copy_only=False) for c in ("lon", "lat"))) if steps and b.num_rows else None
+            mask, last = [], -2
+            for i in range(b.num_rows):
+                stays = i == 0 and me is None or ids[i] != me
+                if not stays and not (same_drops and x[i] == lx and y[i] == ly):
+                    stays = keep(t[i] - lt, ahead[last] if ahead and last == i - 1 else far(lx, ly, x[i], y[i]))
+                mask.append(stays)
+                if stays:
+                    me, lt, lx, ly, last = ids[i], t[i], x[i], y[i], i
+            yield b.filter(pa.array(mask, pa.bool_()))
+
+    return d.where("id is not null").repartition("id").sortWithinPartitions("id", *ORDER).mapInArrow(run, d.schema)
 
 
 def speed_denoise(d: DataFrame, limit_kmh: float = 150, drop_stationary: bool = False, distance: str = "haversine") -> DataFrame:
@@ -140,7 +157,7 @@ def speed_denoise(d: DataFrame, limit_kmh: float = 150, drop_stationary: bool =
 
 def min_spacing(d: DataFrame, metres: float = 30, distance: str = "haversine") -> DataFrame:
     """Keep points at least `metres` from the last kept one."""
-    return fold(d, lambda s, m: m >= metres, distance)
+    return fold(d, lambda s, m: not isnan(m) and m >= metres, distance)
 
 
 def smooth(d: DataFrame, key: str = "id") -> DataFrame:
@@ -161,8 +178,8 @@ def at_most_duration(d: DataFrame, hours: float = 3, key: str = "seg_id") -> Dat
 
 
 def dense_renumber(d: DataFrame, key: str = "id") -> DataFrame:
-    """new_id from 1 in the order of the ids; only the distinct ids are numbered in one place."""
-    ids = d.select(key).distinct().withColumn("new_id", F.row_number().over(Window.orderBy(key)).cast("long"))
+    """new_id from 1 in the order of the ids."""
+    ids = numbered(d.select(key).distinct(), key).select(key, (F.col("n") + 1).alias("new_id"))
     return d.join(ids, key)
 
 

@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+from ..functions.ranks import quantiles
 
-def best_cuts(x: np.ndarray, weight: np.ndarray, k: int) -> tuple[list[float], list[int]]:
-    """Least within-cluster sums of squares for 1 to k clusters, and for k the places where clusters start (x sorted)."""
+#: Distinct values of which the exact optimum is sought in one task.
+MOST_VALUES = 20_000_000
+
+
+def best_cuts(x: np.ndarray, weight: np.ndarray, k: int) -> tuple[list[float], list[list[int]]]:
+    """For 1 to k clusters the least within-cluster sum of squares, and the places where clusters start (x sorted)."""
     s0, s1, s2 = (np.concatenate([[0.0], np.cumsum(v)]) for v in (weight, weight * x, weight * x * x))
 
     def cost(i: np.ndarray, j: int) -> np.ndarray:  # of i..j
@@ -35,32 +41,34 @@ def best_cuts(x: np.ndarray, weight: np.ndarray, k: int) -> tuple[list[float], l
         best = new
         back.append(start)
         inertia.append(float(best[-1]))
-    starts, end = [], n - 1
-    for start in reversed(back):
-        starts.append(int(start[end]))
-        end = starts[-1] - 1
-    return inertia, [0, *reversed(starts)]
+    every = []
+    for c in range(len(back) + 1):
+        starts, end = [], n - 1
+        for start in reversed(back[:c]):
+            starts.append(int(start[end]))
+            end = starts[-1] - 1
+        every.append([0, *reversed(starts)])
+    return inertia, every
 
 
 def elbow(values: DataFrame, column: str = "rg", k: int = 6) -> DataFrame:
     """k, inertia of the standardised values, and low: the least value of each cluster. One row a k up to the number of distinct values.
 
-    Equal values are counted before they meet in one task, where the exact optimum is found.
+    One run finds all k. Equal values are counted before they meet in one task, where the exact optimum is found: a value a
+    trajectory at most, MOST_VALUES in all.
     """
     v = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("x")).agg(F.count("*").alias("w"))
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("x")
-        x, w = p["x"].to_numpy(float), p["w"].to_numpy(float)
+    def run(p: pa.Table) -> pa.Table:
+        if p.num_rows > MOST_VALUES:
+            raise ValueError(f"{p.num_rows} distinct values: the exact optimum is for {MOST_VALUES} at most")
+        x, w = (p.sort_by("x").column(c).to_numpy().astype(float) for c in ("x", "w"))
         mean = np.average(x, weights=w)
         sd = np.sqrt(np.average((x - mean) ** 2, weights=w)) or 1.0
-        rows = []
-        for c in range(1, min(k, len(x)) + 1):
-            inertia, starts = best_cuts((x - mean) / sd, w, c)
-            rows.append({"k": c, "inertia": inertia[-1], "low": [float(x[s]) for s in starts]})
-        return pd.DataFrame(rows)
+        inertia, starts = best_cuts((x - mean) / sd, w, k)
+        return pa.table({"k": pa.array(range(1, len(inertia) + 1), pa.int32()), "inertia": inertia, "low": [[float(x[s]) for s in at] for at in starts]})
 
-    return v.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, "k int, inertia double, low array<double>")
+    return v.withColumn("all", F.lit(1)).groupBy("all").applyInArrow(run, "k int, inertia double, low array<double>")
 
 
 def clusters(values: DataFrame, column: str = "rg", k: int = 3) -> DataFrame:
@@ -72,7 +80,10 @@ def clusters(values: DataFrame, column: str = "rg", k: int = 3) -> DataFrame:
 
 def box_plot(labelled: DataFrame, column: str = "rg") -> DataFrame:
     """Quartiles and whiskers (the farthest values within 1.5 interquartile ranges) of each cluster."""
-    q = labelled.groupBy("cluster").agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count("*").alias("n"))
+    labelled = cut(labelled.select("cluster", column))
+    found = quantiles(labelled, {column: [0.25, 0.5, 0.75]}, "cluster")
+    sizes = labelled.groupBy("cluster").agg(F.count("*").alias("n"))
+    q = sizes.join(F.broadcast(labelled.sparkSession.createDataFrame([(k, v[column]) for k, v in found.items()], "cluster int, q array<double>")), "cluster")
     j = labelled.join(F.broadcast(q), "cluster")  # a row a cluster
     reach = 1.5 * (F.col("q")[2] - F.col("q")[0])
     inside = F.when((F.col(column) >= F.col("q")[0] - reach) & (F.col(column) <= F.col("q")[2] + reach), F.col(column))
@@ -82,9 +93,3 @@ def box_plot(labelled: DataFrame, column: str = "rg") -> DataFrame:
 def split_by_cluster(fixes: DataFrame, labels: DataFrame, path: str) -> None:
     """Write the fixes of labelled ids, a folder a cluster."""
     fixes.join(labels.select("id", "cluster"), "id").write.mode("overwrite").partitionBy("cluster").parquet(path)
-
-
-def number(d: DataFrame, by: str) -> DataFrame:
-    """Labels from 1 by ascending mean of `by`."""
-    m = d.groupBy("cluster").agg(F.avg(by).alias("m")).withColumn("cluster_ordered", F.row_number().over(Window.orderBy("m"))).drop("m")
-    return d.join(F.broadcast(m), "cluster")  # a row a cluster

@@ -54,12 +54,18 @@ def radius_of_gyration(d: DataFrame, distance: str = "haversine") -> DataFrame:
 
 
 def _pairs(d: DataFrame, horizon: int, least_points: int) -> DataFrame:
-    """(id, i, j, gap, a and b positions) of points i <= j in order, at most `horizon` seconds apart."""
+    """(id, bucket, i, j, n, gap, d2) of points i <= j in order, at most `horizon` seconds apart.
+
+    A point goes to the bucket of its time, and offers itself to starts there and in the one before: all pairs of a start are in one
+    partition of the join, which serves the grouping by start as well.
+    """
     d = d.withColumn("rn", F.row_number().over(track())).withColumn("n", F.count("*").over(Window.partitionBy("id"))).where(F.col("n") >= least_points)
     b = F.floor(F.col("t") / horizon)
-    left = d.select("id", "n", F.col("rn").alias("i"), F.col("t").alias("t_i"), F.col("lon").alias("lon_i"), F.col("lat").alias("lat_i"), F.explode(F.array(b, b + 1)).alias("bucket"))
-    right = d.select("id", F.col("rn").alias("j"), F.col("t").alias("t_j"), F.col("lon").alias("lon_j"), F.col("lat").alias("lat_j"), b.alias("bucket"))
-    return left.join(right, ["id", "bucket"]).where(f"j >= i and t_j - t_i <= {horizon}").withColumn("gap", F.col("t_j") - F.col("t_i"))
+    left = d.select("id", b.alias("bucket"), "n", F.col("rn").alias("i"), F.col("t").alias("t_i"), F.col("lon").alias("lon_i"), F.col("lat").alias("lat_i"))
+    right = d.select("id", F.explode(F.array(b, b - 1)).alias("bucket"), F.col("rn").alias("j"), F.col("t").alias("t_j"), F.col("lon").alias("lon_j"), F.col("lat").alias("lat_j"))
+    p = left.join(right, ["id", "bucket"]).where(f"j >= i and t_j - t_i <= {horizon}")
+    p = p.withColumn("m", geo.haversine("lon_i", "lat_i", "lon_j", "lat_j"))
+    return p.select("id", "bucket", "i", "j", "n", (F.col("t_j") - F.col("t_i")).alias("gap"), (F.col("m") * F.col("m")).alias("d2"))
 
 
 def _lags(p: DataFrame, low: Column, high: Column, last: int, step: int) -> DataFrame:
@@ -68,23 +74,16 @@ def _lags(p: DataFrame, low: Column, high: Column, last: int, step: int) -> Data
     return p.withColumn("lo", lo).withColumn("hi", hi).where("lo <= hi").withColumn("lag", F.explode(F.expr(f"sequence({step}*lo, {step}*hi, {step})"))).drop("lo", "hi")
 
 
-
-
-def _end() -> Column:
-    return F.struct("j", "lon_j", "lat_j", "gap")
-
-
-def _squared(m: DataFrame) -> DataFrame:
-    far = geo.haversine("lon_i", "lat_i", "e.lon_j", "e.lat_j")
-    return m.withColumn("m", far).withColumn("d2", F.col("m") * F.col("m"))
+def _matched(p: DataFrame, order: Column, tie: Column | None = None) -> DataFrame:
+    """d2 of each start's first pair in (order, tie), which are one number here: longs and doubles are aggregated in place."""
+    rank = order.cast("long") * F.lit(2**40) + (F.col("j") if tie is None else tie)
+    return p.groupBy("id", "bucket", "i", "lag").agg(F.min_by("d2", rank).alias("d2"))
 
 
 def ensemble_matches(d: DataFrame, last: int = 7200, step: int = 60, tolerance: int = 60, least_points: int = 10, allow_self_match: bool = True) -> DataFrame:
     """The match of each point and lag: the nearest in time to the lag among this and later points, the first on a tie."""
     p = _lags(_pairs(d, last + tolerance, least_points), F.col("gap") - tolerance, F.col("gap") + tolerance, last, step)
-    p = p if allow_self_match else p.where("j > i")
-    m = p.groupBy("id", "i", "lag").agg(F.first("lon_i").alias("lon_i"), F.first("lat_i").alias("lat_i"), F.min_by(_end(), F.struct(F.abs(F.col("gap") - F.col("lag")), F.col("j"))).alias("e"))
-    return _squared(m)
+    return _matched(p if allow_self_match else p.where("j > i"), F.abs(F.col("gap") - F.col("lag")))
 
 
 def msd_ensemble(d: DataFrame, least_samples: int = 30, least_lags: int = 5, **how: int) -> DataFrame:
@@ -97,10 +96,9 @@ def msd_ensemble(d: DataFrame, least_samples: int = 30, least_lags: int = 5, **h
 def msd_pooled(d: DataFrame, last: int = 7200, step: int = 60, tolerance: int = 60, least_points: int = 10, least_samples: int = 30, least_lags: int = 5) -> DataFrame:
     """lag, msd over all samples, samples. Of the last point before the target and the first at or after it the nearer counts, the former on a tie; the last point of a trajectory starts nothing."""
     p = _lags(_pairs(d, last + tolerance, least_points).where("i < n"), F.col("gap") - tolerance, F.col("gap") + tolerance, last, step)
-    before, after = F.when(F.col("gap") < F.col("lag"), _end()), F.when(F.col("gap") >= F.col("lag"), _end())
-    m = p.groupBy("id", "i", "lag").agg(F.first("lon_i").alias("lon_i"), F.first("lat_i").alias("lat_i"), F.max_by(before, F.when(F.col("gap") < F.col("lag"), F.struct("gap", "j"))).alias("b"), F.min_by(after, F.when(F.col("gap") >= F.col("lag"), F.struct("gap", "j"))).alias("a"))
-    nearer = F.when(F.col("a").isNull() | (F.col("lag") - F.col("b.gap") <= F.col("a.gap") - F.col("lag")), F.col("b")).otherwise(F.col("a"))
-    out = _squared(m.withColumn("e", nearer)).groupBy("lag").agg(F.avg("d2").alias("msd"), F.count("*").alias("samples")).where(F.col("samples") >= least_samples)
+    after = F.col("gap") >= F.col("lag")
+    m = _matched(p, 2 * F.abs(F.col("gap") - F.col("lag")) + after.cast("int"), F.when(after, F.col("j")).otherwise(2**40 - 1 - F.col("j")))
+    out = m.groupBy("lag").agg(F.avg("d2").alias("msd"), F.count("*").alias("samples")).where(F.col("samples") >= least_samples)
     return _guard(out, least_lags)
 
 
@@ -113,7 +111,6 @@ def msd_individual(d: DataFrame, last: int = 3600, step: int = 60, least_points:
     """id, lag, msd of each trajectory: the first point at or after the target counts, if within max(30 s, a tenth of the lag); lags below the duration."""
     span = d.groupBy("id").agg((F.max("t") - F.min("t")).alias("duration"))
     p = _lags(_pairs(d, last + last // 10, least_points), F.col("gap") / 1.1 - 30, F.col("gap"), last, step)
-    m = p.where("gap >= lag").groupBy("id", "i", "lag").agg(F.first("lon_i").alias("lon_i"), F.first("lat_i").alias("lat_i"), F.min_by(_end(), F.struct("gap", "j")).alias("e"))
-    m = m.where(F.col("e.gap") - F.col("lag") <= F.greatest(F.lit(30), F.col("lag") / 10))
-    curve = _squared(m).groupBy("id", "lag").agg(F.avg("d2").alias("msd")).where("msd > 0").join(span, "id").where("lag < duration")
+    m = _matched(p.where(F.col("gap") - F.col("lag") <= F.greatest(F.lit(30), F.col("lag") / 10)), F.col("gap"))
+    curve = m.groupBy("id", "lag").agg(F.avg("d2").alias("msd")).where("msd > 0").join(span, "id").where("lag < duration")
     return curve.withColumn("k", F.count("*").over(Window.partitionBy("id"))).where(F.col("k") >= least_lags).select("id", "lag", "msd")

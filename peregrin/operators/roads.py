@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
+from ..functions.ranks import numbered
 
 
 def segments(lines: DataFrame) -> DataFrame:
@@ -80,15 +81,6 @@ def topology(s: DataFrame, places: int = 4) -> tuple[DataFrame, DataFrame]:
     return nodes, edges.select("from_node", "to_node", F.sqrt((F.col("x2") - F.col("x1")) ** 2 + (F.col("y2") - F.col("y1")) ** 2).alias("length_m"))
 
 
-def numbered(d: DataFrame, *by: str) -> DataFrame:
-    """d with n from 0 in the order of `by`: a row number within buckets of the first key's quantiles, plus the sizes of the buckets before."""
-    q = d.agg(F.percentile_approx(by[0], F.array(*[F.lit(i / 64) for i in range(1, 64)]), 1000).alias("q"))
-    b = d.crossJoin(F.broadcast(q)).withColumn("__b", F.size(F.filter("q", lambda x: F.col(by[0]) > x))).drop("q")  # one row
-    sizes = b.groupBy("__b").agg(F.count("*").alias("k")).withColumn("before", F.sum("k").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)))
-    n = F.row_number().over(Window.partitionBy("__b").orderBy(*by)) - 1 + F.coalesce("before", F.lit(0))
-    return b.join(F.broadcast(sizes), "__b").withColumn("n", n.cast("long")).drop("__b", "k", "before")  # 64 rows at most
-
-
 def graph(edges: DataFrame, seq: str = "length_m") -> DataFrame:
     """Undirected edges u < v with length_m (of parallel ones the last in the order of seq) and weight 1/length (1 without length)."""
     g = edges.groupBy(F.least("from_node", "to_node").alias("u"), F.greatest("from_node", "to_node").alias("v")).agg(F.max_by("length_m", seq).alias("length_m"))

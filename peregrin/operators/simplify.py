@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .clean import DISTANCES, ORDER
@@ -31,18 +31,19 @@ def key_points(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
 
 def simplify(d: DataFrame, tolerance: float = 20, spacing: float = 30, distance: str = "haversine") -> DataFrame:
     """Key points in EPSG:3857 metres, then only those at least `spacing` from the last kept one. Trajectories of two points or fewer stay."""
-    columns, far = d.columns, DISTANCES[distance]
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(list(ORDER), kind="stable")
-        if len(p) > 2:
-            lon, lat = p["lon"].to_numpy(), p["lat"].to_numpy()
-            at = key_points(6378137.0 * np.radians(lon), 6378137.0 * np.log(np.tan(np.pi / 4 + np.radians(lat) / 2)), tolerance)
+    far, _ = DISTANCES[distance]
+
+    def run(p: pa.Table) -> pa.Table:
+        p = p.sort_by([(c, "ascending") for c in ORDER])
+        if p.num_rows > 2:
+            lon, lat = (p.column(c).to_numpy() for c in ("lon", "lat"))
+            at = key_points(6378137.0 * np.radians(lon), 6378137.0 * np.log(np.tan(np.pi / 4 + np.radians(lat) / 2)), tolerance).tolist()
+            x, y = lon.tolist(), lat.tolist()
             kept = [at[0]]
             for i in at[1:]:
-                if far(lon[kept[-1]], lat[kept[-1]], lon[i], lat[i]) >= spacing:
+                if far(x[kept[-1]], y[kept[-1]], x[i], y[i]) >= spacing:
                     kept.append(i)
-            p = p.iloc[kept]
-        return p[columns]
+            p = p.take(pa.array(kept))
+        return p
 
-    return d.groupBy("id").applyInPandas(run, d.schema)
+    return d.groupBy("id").applyInArrow(run, d.schema)

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import grid, roads
+from ..functions.ranks import numbered
+from ..operators import grid
 from ..operators.clean import track
 
 
@@ -27,7 +28,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grid_graph(d: DataFrame, metres: float = 400) -> tuple[DataFrame, DataFrame]:
     """nodes (node_id, x, y) and edges (from_node, to_node, length_m): occupied cells, and the moves between them."""
     c = grid.cells(d, metres).select("id", "t", "seq", "loncol", "latcol")
-    nodes = roads.numbered(c.select("loncol", "latcol").distinct(), "loncol", "latcol")
+    nodes = numbered(c.select("loncol", "latcol").distinct(), "loncol", "latcol")
     c = c.withColumn("px", F.lag("loncol").over(track())).withColumn("py", F.lag("latcol").over(track())).where("px is not null and (px <> loncol or py <> latcol)")
     here, there = nodes.select("loncol", "latcol", F.col("n").alias("b")), nodes.select(F.col("loncol").alias("px"), F.col("latcol").alias("py"), F.col("n").alias("a"))
     far = F.sqrt(((F.col("loncol") - F.col("px")) ** 2 + (F.col("latcol") - F.col("py")) ** 2).cast("double")) * metres
