@@ -21,9 +21,14 @@ def haversine(lon1: str, lat1: str, lon2: str, lat2: str) -> Column:
     return F.expr(haversine_sql(lon1, lat1, lon2, lat2))
 
 
-def mercator(lon: str, lat: str) -> tuple[Column, Column]:
+def mercator_sql(lon: str, lat: str) -> tuple[str, str]:
     """EPSG:3857 metres."""
-    return F.expr(f"{AXIS}*({lon})*{RAD}"), F.expr(f"{AXIS}*ln(tan(pi()/4e0 + ({lat})*{RAD}/2e0))")
+    return f"{AXIS}*({lon})*{RAD}", f"{AXIS}*ln(tan(pi()/4e0 + ({lat})*{RAD}/2e0))"
+
+
+def mercator(lon: str, lat: str) -> tuple[Column, Column]:
+    x, y = mercator_sql(lon, lat)
+    return F.expr(x), F.expr(y)
 
 
 def utm_zone(lon: str, lat: str) -> Column:
@@ -33,6 +38,11 @@ def utm_zone(lon: str, lat: str) -> Column:
 
 def utm(lon: str, lat: str, zone: str) -> tuple[Column, Column]:
     """Easting and northing in metres by the third-order Krueger series of the WGS-84 ellipsoid."""
+    east, north = utm_sql(lon, lat, zone)
+    return F.expr(east), F.expr(north)
+
+
+def utm_sql(lon: str, lat: str, zone: str) -> tuple[str, str]:
     f = 1 / 298.257223563
     n = f / (2 - f)
     a = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64) * 0.9996
@@ -44,7 +54,7 @@ def utm(lon: str, lat: str, zone: str) -> tuple[Column, Column]:
     xi, eta = f"atan2({t}, cos{lam})", f"atanh(sin{lam}/sqrt(1e0+({t})*({t})))"
     east = f"500000e0 + {a!r}D*({eta} + " + " + ".join(f"{c!r}D*cos({2 * j}*{xi})*sinh({2 * j}*{eta})" for j, c in enumerate(al, 1)) + ")"
     north = f"case when ({lat}) < 0 then 1e7 else 0e0 end + {a!r}D*({xi} + " + " + ".join(f"{c!r}D*sin({2 * j}*{xi})*cosh({2 * j}*{eta})" for j, c in enumerate(al, 1)) + ")"
-    return F.expr(east), F.expr(north)
+    return east, north
 
 
 def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:

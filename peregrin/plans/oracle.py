@@ -1,11 +1,25 @@
-"""The same queries in SQL for DuckDB."""
+"""The same queries in SQL for DuckDB. Formulas and weights are written out here, apart from the code that they check."""
 
 from __future__ import annotations
 
-from ..functions.geo import METRES_PER_DEGREE, haversine_sql
-from ..operators.diffusion import smoothing_matrix
+METRES_PER_DEGREE = 111320.0
+#: Weights of the quadratic fit to 3, 5 and 7 values at its places (divisor, rows up to the middle; later ones mirror them).
+SMOOTHING = {
+    3: (1, [[1, 0, 0], [0, 1, 0]]),
+    5: (35, [[31, 9, -3, -5, 3], [9, 13, 12, 6, -5], [-3, 12, 17, 12, -3]]),
+    7: (42, [[32, 15, 3, -4, -6, -3, 5], [15, 12, 9, 6, 3, 0, -3], [3, 9, 12, 12, 9, 3, -6], [-4, 6, 12, 14, 12, 6, -4]]),
+}
+
+
+def H(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
+    """Great-circle metres on a sphere of 6371 km: twice the radius times the arc sine of the root of the haversine."""
+    h = f"pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)"
+    return f"(12742000e0 * asin(sqrt(least(1e0, {h}))))"
 
-H = haversine_sql
+
+def _weight(w: int, r: int, k: int) -> float:
+    divisor, rows = SMOOTHING[w]
+    return (rows[r][k] if r < len(rows) else rows[w - 1 - r][w - 1 - k]) / divisor
 
 
 def _d(x: float) -> str:
@@ -73,7 +87,7 @@ ind AS (SELECT id, lag, msd FROM i1 WHERE k >= 5)"""
 
 def _alpha(source: str, key: str, window: int, name: str) -> str:
     """Smoothing by rows of a constant matrix, then the gradient; curves shorter than the window use a shorter odd one."""
-    parts = [f"({w}, {r}, {k}, {_d(float(smoothing_matrix(w)[r, k]))})" for w in range(3, window + 1, 2) for r in range(w) for k in range(w)]
+    parts = [f"({w}, {r}, {k}, {_d(_weight(w, r, k))})" for w in range(3, window + 1, 2) for r in range(w) for k in range(w)]
     p = f"PARTITION BY {key}"
     return f"""hm(w, r, k, h) AS (VALUES {", ".join(parts)}),
 a0 AS (SELECT {key} AS key, lag, msd, ln(CAST(lag AS DOUBLE)) AS x, ln(msd) AS y, row_number() OVER ({p} ORDER BY lag) - 1 AS i, count(*) OVER ({p}) AS n FROM {source} WHERE lag > 0 AND msd > 0),
@@ -165,6 +179,14 @@ JOIN (SELECT id, exp(regr_intercept(ln(msd), ln(CAST(lag AS DOUBLE)))) AS a, reg
     "diffusion_regime": _with("SELECT CASE WHEN alpha < 0.5e0 THEN 'sub' WHEN alpha < 1 THEN 'normal' ELSE 'super' END AS regime, count(*) AS n FROM crv GROUP BY 1", CURVE),
     "cutoff_log": _with("SELECT count(*) AS original, CAST(sum(CAST(keep AS INTEGER)) AS BIGINT) AS vis, CASE WHEN count(*) < 5 THEN 'TooShort' ELSE coalesce(arg_min(CASE WHEN alpha > run_min + 0.2e0 THEN printf('Rebound > 0.2 (Min=%.2f)', run_min) ELSE 'Alpha <= 0' END, lag) FILTER (hit), 'Complete') END AS reason FROM flg", CURVE, FLAGS),
     "rg_summary": _with("SELECT id, round(rg, 3) AS rg FROM rg", RG),
+    "rg_elbow": _with(
+        "SELECT CAST(k AS INTEGER) AS k, round(j, 6) AS inertia FROM (" + " UNION ALL ".join(f"SELECT {k} AS k, j FROM e{k} WHERE i = (SELECT count(*) FROM v)" for k in range(1, 7)) + ")",
+        RG,
+        "zz AS (SELECT (rg - (SELECT avg(rg) FROM rg)) / (SELECT stddev_pop(rg) FROM rg) AS z FROM rg)",
+        "v AS (SELECT row_number() OVER (ORDER BY z) AS i, sum(z) OVER (ORDER BY z ROWS UNBOUNDED PRECEDING) AS s1, sum(z * z) OVER (ORDER BY z ROWS UNBOUNDED PRECEDING) AS s2 FROM zz)",
+        "e1 AS (SELECT i, s2 - s1 * s1 / i AS j FROM v)",
+        *[f"e{k} AS (SELECT b.i, min(p.j + (b.s2 - a.s2) - pow(b.s1 - a.s1, 2) / (b.i - a.i)) AS j FROM v b JOIN v a ON a.i < b.i JOIN e{k - 1} p ON p.i = a.i GROUP BY b.i)" for k in range(2, 7)],
+    ),
     "rg_clusters": _with("SELECT id, cluster, round(rg, 3) AS rg FROM lab", LABEL),
     "cluster_split_counts": _with("SELECT cluster, count(*) AS n, count(DISTINCT id) AS ids FROM pts JOIN lab USING (id) GROUP BY cluster", LABEL),
     "rg_boxplot": _with("SELECT cluster, any_value(n) AS n, round(any_value(q[1]), 3) AS q1, round(any_value(q[2]), 3) AS q2, round(any_value(q[3]), 3) AS q3, round(min(rg), 3) AS low, round(max(rg), 3) AS high FROM lab JOIN (SELECT cluster, count(*) AS n, quantile_cont(rg, [0.25, 0.5, 0.75]) AS q FROM lab GROUP BY cluster) USING (cluster) WHERE rg BETWEEN q[1] - 1.5e0 * (q[3] - q[1]) AND q[3] + 1.5e0 * (q[3] - q[1]) GROUP BY cluster", LABEL),
@@ -184,9 +206,10 @@ JOIN (SELECT id, exp(regr_intercept(ln(msd), ln(CAST(lag AS DOUBLE)))) AS a, reg
     "node_degree_top": _with("SELECT a AS node, count(*) AS degree FROM both_ GROUP BY a ORDER BY degree DESC, node LIMIT 15", GRAPH),
     "start_nodes": _with("SELECT node_id AS node FROM near WHERE k = 1 UNION (SELECT node FROM deg ORDER BY degree DESC, node LIMIT 15) UNION SELECT node_id FROM xy WHERE (SELECT n FROM ext) < 200", STARTS, recursive=True),
     "hop_distance": _with(
-        "SELECT s.node AS start, h.node, min(d) AS hops FROM hop h, (SELECT min(node) AS node FROM big) s GROUP BY ALL",
-        COMP,
-        "hop AS (SELECT min(node) AS node, CAST(0 AS BIGINT) AS d FROM big UNION SELECT e.b, h.d + 1 FROM hop h JOIN both_ e ON e.a = h.node WHERE h.d < 60)",
+        "SELECT start, node, min(d) AS hops FROM hop GROUP BY ALL",
+        STARTS,
+        "sta AS (SELECT node_id AS node FROM near WHERE k = 1 UNION (SELECT node FROM deg ORDER BY degree DESC, node LIMIT 15) UNION SELECT node_id FROM xy WHERE (SELECT n FROM ext) < 200)",
+        "hop AS (SELECT node AS start, node, CAST(0 AS BIGINT) AS d FROM sta UNION ALL SELECT h.start, e.b, min(h.d) + 1 FROM hop h JOIN both_ e ON e.a = h.node WHERE NOT EXISTS (SELECT 1 FROM recurring.hop r WHERE r.start = h.start AND r.node = e.b) GROUP BY h.start, e.b)",
         recursive=True,
     ),
 }

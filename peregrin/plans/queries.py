@@ -59,25 +59,7 @@ def _starts(d: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _hops(d: DataFrame) -> DataFrame:
-    g, _ = _starts(d)
-    first = g.agg(F.min("u").alias("node"))
-    rows = [(r.u, r.v) for r in g.select("u", "v").limit(120_001).collect()]
-    if len(rows) > 120_000:
-        raise ValueError("too many edges to search in one task")
-    shared = d.sparkSession.sparkContext.broadcast(rows)
-
-    def run(it):
-        import pandas as pd
-
-        names = sorted({x for r in shared.value for x in r})
-        at = {x: i for i, x in enumerate(names)}
-        e = [(at[u], at[v], 1.0) for u, v in shared.value]
-        for p in it:
-            for s in p["node"]:
-                hops = ctqw.hops_squared(len(names), e, at[s]) ** 0.5
-                yield pd.DataFrame({"start": s, "node": names, "hops": hops.round().astype("int64")})
-
-    return first.mapInPandas(run, "start long, node long, hops long")
+    return roads.hops(*_starts(d))
 
 
 def _walk(d: DataFrame) -> DataFrame:
@@ -93,7 +75,8 @@ def _fit(d: DataFrame) -> DataFrame:
 def _subdivided(d: DataFrame) -> DataFrame:
     nodes, edges = grid_graph(d, CELL)
     a, b = (nodes.select(F.col("node_id").alias(i), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}")) for i, k in (("from_node", 1), ("to_node", 2)))
-    s = edges.join(a, "from_node").join(b, "to_node").select("from_node", "to_node", "x1", "y1", "x2", "y2")
+    end = lambda k: F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y"))
+    s = edges.join(a, "from_node").join(b, "to_node").select("from_node", "to_node", F.array(end(1), end(2)).alias("points"))
     return roads.subdivide(s, 800.0).select("from_node", "to_node", "k", *_r(4, x1="x1", y1="y1", x2="x2", y2="y2"))
 
 
