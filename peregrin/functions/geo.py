@@ -11,10 +11,11 @@ RADIUS, RAD, AXIS, METRES_PER_DEGREE = "6371000e0", "0.017453292519943295e0", "6
 
 
 def haversine_sql(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
-    """Metres on a sphere of radius 6371000."""
+    """Metres on a sphere of radius 6371000; null if a coordinate is."""
     f1, f2 = f"({lat1})*{RAD}", f"({lat2})*{RAD}"
     df, dl = f"(({lat2})-({lat1}))*{RAD}/2e0", f"(({lon2})-({lon1}))*{RAD}/2e0"
-    return f"(2e0*{RADIUS}*asin(sqrt(least(1e0, sin({df})*sin({df}) + cos({f1})*cos({f2})*sin({dl})*sin({dl})))))"
+    h = f"sin({df})*sin({df}) + cos({f1})*cos({f2})*sin({dl})*sin({dl})"
+    return f"(2e0*{RADIUS}*asin(sqrt(case when {h} > 1e0 then 1e0 else {h} end)))"  # least() would pass over a null
 
 
 def haversine(lon1: str, lat1: str, lon2: str, lat2: str) -> Column:

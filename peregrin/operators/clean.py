@@ -190,3 +190,21 @@ def clean_segments(d: DataFrame, gap_s: int = 1800, hours: float = 3, limit_kmh:
     d = at_least(speed_denoise(d, limit_kmh, drop_stationary, distance), 5)
     d = at_most_duration(at_least(gap_segments(d, gap_s), 5, "seg_id"), hours)
     return smooth(d, "seg_id").withColumn("id", F.col("seg_id")).drop("seg_id", "sub")
+
+
+def some_ids(d: DataFrame, n: int = 50, seed: int = 42, key: str = "id") -> DataFrame:
+    """The rows of n ids, chosen by a seeded hash: the preview of individual curves (fewer ids are all kept)."""
+    ids = d.where(F.col(key).isNotNull()).select(key).distinct().orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return d.join(F.broadcast(ids), key, "left_semi")  # n rows
+
+
+def process(d: DataFrame, gap_s: int = 1800, metres: float = 5000, tolerance: float = 20, spacing: float = 30, least: int = 5, **drift: float) -> DataFrame:
+    """The preprocessing chain: drop nulls and ranges, part trajectories at gaps and jumps, drop drift and points that add nothing, simplify,
+    keep trajectories of `least` points, number them from 1 (new_id) in the order of their parts."""
+    from .simplify import simplify
+
+    d = drop_nulls_and_range(d).select("id", "seq", "t", "lon", "lat")
+    part = lambda d, by: d.withColumn("id", F.concat_ws("_", "id", by)).select("id", "seq", "t", "lon", "lat")
+    d = part(reindex_by_distance(part(gap_segments(d, gap_s), "sub"), metres), "part")
+    d = simplify(redundant_clean(drift_clean(d, **drift)), tolerance, spacing)
+    return dense_renumber(at_least(d, least))

@@ -91,5 +91,5 @@ def box_plot(labelled: DataFrame, column: str = "rg") -> DataFrame:
 
 
 def split_by_cluster(fixes: DataFrame, labels: DataFrame, path: str) -> None:
-    """Write the fixes of labelled ids, a folder a cluster."""
+    """Write the fixes of labelled ids, a folder a cluster (those with fixes); the label is in the folder's name alone."""
     fixes.join(labels.select("id", "cluster"), "id").write.mode("overwrite").partitionBy("cluster").parquet(path)

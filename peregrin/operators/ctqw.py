@@ -14,6 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .diffusion import alpha_curve
+
+#: Coarse couplings, weights of the two parts of the loss, the largest coupling.
 COARSE = np.arange(10, 2000, 50).astype(float)
 WEIGHT_MSD, WEIGHT_ALPHA, TOP = 3.0, 1.0, 2000.0
 
@@ -168,6 +171,13 @@ def fit_walk(g: DataFrame, starts: DataFrame, curve: DataFrame, metres: bool = F
     return spark.createDataFrame(rows, out)
 
 
+def result_table(fitted: DataFrame, window: int = 7) -> DataFrame:
+    """Time, Real_MSD, Real_Alpha, Fit_MSD, Fit_Alpha: the table of a fit; the fit's exponent is computed as the measured one's."""
+    a = alpha_curve(fitted.select("lag", F.col("fit_msd").alias("msd")), window=window).select("lag", F.col("alpha").alias("Fit_Alpha"))
+    t = fitted.join(F.broadcast(a), "lag", "left")  # a row a lag
+    return t.select(F.col("lag").alias("Time"), F.col("real_msd").alias("Real_MSD"), F.col("real_alpha").alias("Real_Alpha"), F.col("fit_msd").alias("Fit_MSD"), "Fit_Alpha")
+
+
 def r_squared(fitted: DataFrame) -> DataFrame:
     """One row: r2 of fit_msd against real_msd."""
     m = fitted.agg(F.avg("real_msd").alias("m"))

@@ -14,7 +14,7 @@ SMOOTHING = {
 def H(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
     """Great-circle metres on a sphere of 6371 km: twice the radius times the arc sine of the root of the haversine."""
     h = f"pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)"
-    return f"(12742000e0 * asin(sqrt(least(1e0, {h}))))"
+    return f"(12742000e0 * asin(sqrt(CASE WHEN {h} > 1 THEN 1e0 ELSE {h} END)))"
 
 
 def _weight(w: int, r: int, k: int) -> float:
@@ -43,17 +43,19 @@ def _with(final: str, *ctes: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' * recursive}" + ",\n".join([PTS, *ctes]) + "\n" + final
 
 
-def _fold(keep: str) -> str:
-    return _with(
-        f"SELECT {FIX} FROM f WHERE kept",
-        "o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY t, seq) AS rn FROM pts)",
+def _fold_of(source: str, keep: str) -> tuple[str, str]:
+    return (
+        f"o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY t, seq) AS rn FROM {source})",
         f"""f AS (SELECT id, rn, seq, t, lon, lat, true AS kept, t AS kt, lon AS kx, lat AS ky FROM o WHERE rn = 1
   UNION ALL SELECT id, rn, seq, t, lon, lat, k, CASE WHEN k THEN t ELSE kt END, CASE WHEN k THEN lon ELSE kx END, CASE WHEN k THEN lat ELSE ky END
   FROM (SELECT o.id, o.rn, o.seq, o.t, o.lon, o.lat, f.kt, f.kx, f.ky, {keep} AS k FROM f JOIN o ON o.id = f.id AND o.rn = f.rn + 1))""",
-        recursive=True,
     )
 
 
+def _fold(keep: str) -> str:
+    return _with(f"SELECT {FIX} FROM f WHERE kept", *_fold_of("pts", keep), recursive=True)
+
+
 _FAR = H("f.kx", "f.ky", "o.lon", "o.lat")
 _REACH = f"CASE WHEN o.t <= f.kt THEN false ELSE {_FAR} / (o.t - f.kt) * 3.6e0 <= 150 END"
 MEASURES = f"""ends AS (SELECT id, arg_min(lon, (t, seq)) AS x0, arg_min(lat, (t, seq)) AS y0, arg_max(lon, (t, seq)) AS x1, arg_max(lat, (t, seq)) AS y1, min(t) AS t0, max(t) AS t1 FROM pts GROUP BY id HAVING count(*) > 1 AND max(t) > min(t)),
@@ -190,6 +192,25 @@ JOIN (SELECT id, exp(regr_intercept(ln(msd), ln(CAST(lag AS DOUBLE)))) AS a, reg
     "rg_clusters": _with("SELECT id, cluster, round(rg, 3) AS rg FROM lab", LABEL),
     "cluster_split_counts": _with("SELECT cluster, count(*) AS n, count(DISTINCT id) AS ids FROM pts JOIN lab USING (id) GROUP BY cluster", LABEL),
     "rg_boxplot": _with("SELECT cluster, any_value(n) AS n, round(any_value(q[1]), 3) AS q1, round(any_value(q[2]), 3) AS q2, round(any_value(q[3]), 3) AS q3, round(min(rg), 3) AS low, round(max(rg), 3) AS high FROM lab JOIN (SELECT cluster, count(*) AS n, quantile_cont(rg, [0.25, 0.5, 0.75]) AS q FROM lab GROUP BY cluster) USING (cluster) WHERE rg BETWEEN q[1] - 1.5e0 * (q[3] - q[1]) AND q[3] + 1.5e0 * (q[3] - q[1]) GROUP BY cluster", LABEL),
+    "dist_kernel_density": _with(
+        """SELECT measure, round(p, 3) AS "at", round(sum(k * exp(-pow((p - m) / h, 2) / 2)) / any_value(n) / any_value(h) / 2.5066282746310002e0, 8) AS density
+FROM (SELECT s.*, low + (high - low) * i / 49 AS p FROM sp s, range(50) g(i)) JOIN ce USING (measure) GROUP BY measure, p""",
+        PREV, STEP, MEASURES,
+        "tr AS (SELECT *, min(x) OVER (PARTITION BY measure) AS low, max(x) OVER (PARTITION BY measure) AS high FROM (SELECT *, quantile_cont(x, 0.995) OVER (PARTITION BY measure) AS q FROM mea) WHERE x <= q)",
+        "sp AS (SELECT measure, count(*) AS n, stddev_samp(x) * pow(count(*), -0.2e0) AS h, any_value(low) AS low, any_value(high) AS high FROM tr WHERE high > low GROUP BY measure HAVING count(*) > 1 AND stddev_samp(x) > 0)",
+        "ce AS (SELECT measure, count(*) AS k, avg(x) AS m FROM tr WHERE high > low GROUP BY measure, least(4095, floor((x - low) / (high - low) * 4096)))",
+    ),
+    "clean_segments": _with(
+        f"""SELECT seg_id AS id, seq, t, round(CASE WHEN n >= 3 THEN avg(lon) OVER w ELSE lon END, 6) AS lon, round(CASE WHEN n >= 3 THEN avg(lat) OVER w ELSE lat END, 6) AS lat
+FROM s3 WINDOW w AS (PARTITION BY seg_id ORDER BY t, seq ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)""",
+        "bb AS (SELECT pts.*, count(*) OVER (PARTITION BY id) AS n FROM pts, (SELECT quantile_cont(lon, [0.001, 0.999]) AS qx, quantile_cont(lat, [0.001, 0.999]) AS qy FROM pts) WHERE lon BETWEEN qx[1] AND qx[2] AND lat BETWEEN qy[1] AND qy[2])",
+        *_fold_of("(SELECT * FROM bb WHERE n >= 5)", _REACH),
+        "s0 AS (SELECT id, seq, t, lon, lat FROM (SELECT *, count(*) OVER (PARTITION BY id) AS c FROM f WHERE kept) WHERE c >= 5)",
+        "s1 AS (SELECT *, id || '_' || sum(b) OVER (PARTITION BY id ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS seg_id FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY id ORDER BY t, seq) > 300 THEN 1 ELSE 0 END AS b FROM s0))",
+        "s2 AS (SELECT *, count(*) OVER (PARTITION BY seg_id) AS n, max(t) OVER (PARTITION BY seg_id) - min(t) OVER (PARTITION BY seg_id) AS span FROM s1)",
+        "s3 AS (SELECT * FROM s2 WHERE n >= 5 AND span <= 10800)",
+        recursive=True,
+    ),
     "grid_density": _with("SELECT * FROM den", _cells(40)),
     "grid_high_density": _with("SELECT id, seq, loncol, latcol FROM cel JOIN den USING (loncol, latcol) WHERE n >= (SELECT quantile_cont(n, 0.5) FROM den)", C400),
     "grid_quantile_classes": _with("SELECT loncol, latcol, n, CAST(1 + " + " + ".join(f"CAST(n > (SELECT quantile_cont(n, {i / 7!r}) FROM den) AS INTEGER)" for i in range(1, 7)) + ' AS INTEGER) AS "class" FROM den', C400),

@@ -80,6 +80,15 @@ def _subdivided(d: DataFrame) -> DataFrame:
     return roads.subdivide(s, 800.0).select("from_node", "to_node", "k", *_r(4, x1="x1", y1="y1", x2="x2", y2="y2"))
 
 
+def _noded(d: DataFrame) -> DataFrame:
+    """Edges of a network: each trajectory's way through the cells of 1600 m as a polyline, noded and subdivided."""
+    c = grid.cells(d, 1600.0).select("id", "t", "seq", (F.col("loncol") * 100.0).alias("x"), (F.col("latcol") * 100.0).alias("y"))
+    way = c.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("t", "seq", "x", "y"))).alias("p"))  # of one trajectory
+    shapes = way.select(F.array(F.transform("p", lambda q: F.struct(q["x"], q["y"]))).alias("parts"))
+    lines = cut(roads.lines_of(shapes))
+    return cut(roads.subdivide(roads.node_lines(lines), 150.0))
+
+
 def _swapped(d: DataFrame) -> DataFrame:
     turned = d.select("id", "seq", "t", (F.col("lat") + 60).alias("lon"), F.col("lon").alias("lat"))
     return clean.swap_repair(turned.select("id", "seq", "t", F.col("lat").alias("lon"), F.col("lon").alias("lat"))).select(*FIX)
@@ -130,6 +139,13 @@ PLANS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "rg_clusters": lambda d: _labelled(d).select("id", "cluster", *_r(3, rg="rg")),
     "cluster_split_counts": lambda d: d.join(_labelled(d).select("id", "cluster"), "id").groupBy("cluster").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")),
     "rg_boxplot": lambda d: cluster.box_plot(_labelled(d)).select("cluster", "n", *_r(3, q1="q1", q2="q2", q3="q3", low="low", high="high")),
+    "dist_kernel_density": lambda d: grid.kernel_density(motion.measures(d), 50).select("measure", *_r(3, at="at"), *_r(8, density="density")),
+    "clean_segments": lambda d: clean.clean_segments(d, GAP).select("id", "seq", "t", *_r(6, lon="lon", lat="lat")),
+    "process_chain": lambda d: clean.process(d, GAP, 500).select("id", "seq", "t", "lon", "lat", "new_id"),
+    "curve_preview": lambda d: clean.some_ids(_individual(d)).select("id", "lag", *_r(3, msd="msd"), *_r(6, alpha="alpha")),
+    "road_network_nodes": lambda d: roads.topology(_noded(d))[0],
+    "road_network_edges": lambda d: roads.topology(_noded(d))[1].select("from_node", "to_node", *_r(3, length_m="length_m")),
+    "ctqw_result": lambda d: ctqw.result_table(_fit(d)),
     "grid_density": lambda d: grid.density(d, 40),
     "grid_high_density": lambda d: grid.dense_fixes(d, CELL).select("id", "seq", "loncol", "latcol"),
     "grid_quantile_classes": lambda d: grid.quantile_classes(grid.density(d, CELL)),
@@ -144,7 +160,7 @@ PLANS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "hop_distance": _hops,
     "ctqw_msd": _walk,
     "ctqw_fit": _fit,
-    "geodesic_vs_haversine": lambda d: clean.with_previous(d).where("p_t is not null").select("id", "seq", geo.haversine("p_lon", "p_lat", "lon", "lat").alias("sphere_m"), geo.geodesic("p_lon", "p_lat", "lon", "lat").alias("ellipsoid_m")),
+    "geodesic_vs_haversine": lambda d: clean.with_previous(d).where("p_t is not null").select("id", "seq", *_r(3, sphere_m=geo.haversine("p_lon", "p_lat", "lon", "lat"), ellipsoid_m=geo.geodesic("p_lon", "p_lat", "lon", "lat"))),
 }
 
 

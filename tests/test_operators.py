@@ -119,17 +119,11 @@ def test_best_cuts_against_all_cuts():
     assert inertia[2] == pytest.approx(min(sse(x[:i]) + sse(x[i:j]) + sse(x[j:]) for i in range(1, 29) for j in range(i + 1, 30)))
 
 
-def test_subdivision(spark):
-    s = spark.createDataFrame([(0.0, 0.0, 700.0, 0.0)], "x1 double, y1 double, x2 double, y2 double")
-    parts = [r.x2 - r.x1 for r in roads.subdivide(s).collect()]
-    assert len(parts) == 3 and all(p == pytest.approx(700 / 3) for p in parts)
-
-
 def test_noding_cuts_a_cross(spark):
-    lines = spark.createDataFrame([(1, [(0.0, 0.0), (10.0, 0.0)]), (2, [(5.0, -5.0), (5.0, 5.0)]), (3, [(2.0, 0.0), (4.0, 0.0)]), (4, None)], "line long, points array<struct<x:double,y:double>>")
-    pieces = roads.node_lines(roads.segments(lines))
-    assert {(r.x1, r.y1, r.x2, r.y2) for r in pieces.collect()} == {(0, 0, 2, 0), (2, 0, 4, 0), (4, 0, 5, 0), (5, 0, 10, 0), (5, -5, 5, 0), (5, 0, 5, 5)}
-    nodes, edges = roads.topology(pieces)
+    shapes = spark.createDataFrame([([[(0.0, 0.0), (10.0, 0.0)], [(5.0, -5.0), (5.0, 5.0)]],), ([[(2.0, 0.0), (4.0, 0.0)]],), (None,)], "parts array<array<struct<x:double,y:double>>>")
+    e = roads.subdivide(roads.node_lines(roads.lines_of(shapes)), 100.0)
+    assert {(r.x1, r.y1, r.x2, r.y2) for r in e.collect()} == {(0, 0, 2, 0), (2, 0, 4, 0), (4, 0, 5, 0), (5, 0, 10, 0), (5, -5, 5, 0), (5, 0, 5, 5)}
+    nodes, edges = roads.topology(e)
     assert nodes.count() == 7 and edges.count() == 6 and roads.largest_component(edges).count() == 7
     assert {r.node_id for r in nodes.collect()} == set(range(7))
 
