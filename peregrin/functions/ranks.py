@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from math import ceil, floor
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lineage import cut
 
-#: Distinct values of a narrowed range that may be brought to the driver; approximate ranks are off by 1 / ACCURACY at most.
+#: Values of a narrowed range that may be brought to the driver; approximate ranks are off by 1 / ACCURACY at most.
 MOST_VALUES, ACCURACY = 50_000, 10_000
 
 
@@ -17,81 +17,80 @@ def quantiles(d: DataFrame, of: dict[str, list[float]], by: str | None = None) -
     """Of each column the exact quantiles (interpolated between the two nearest ranks), for each value of `by`: {key: {column: [...]}}.
 
     by has few values (a cluster, a measure); without it the one key is None. Nulls are left out; a key with no value in a column has
-    no entry for it. A pass finds approximate ranks on both sides of each wanted one, the next counts what is below and between, and
-    when few distinct values are between they are ranked exactly, else the range is narrowed again. What reaches the driver is bounded.
+    no entry for it. A pass finds values of approximate ranks on both sides of each wanted one, the next counts what is below and between; if
+    few values are between, they are ranked exactly, else the range is narrowed again. What reaches the driver is bounded.
     """
     key = F.lit(None) if by is None else F.col(by)
-    rows = d.select(key.alias("__by"), *of).where(" or ".join(f"{c} is not null" for c in of))
-    out: dict[object, dict[str, list[float]]] = {}
-    spans = {}  # (key, column, rank) to (low, high): the value of that rank is between
-    first = rows.groupBy("__by").agg(*[F.count(c).alias(f"n_{c}") for c in of])
-    sizes = {r[0]: r for r in first.collect()}  # a row a key
+    rows = d.select(key.alias("__by"), *[F.col(c).cast("double").alias(c) for c in of]).where(" or ".join(f"{c} is not null" for c in of))
+    margin = 2 / ACCURACY
+    around = lambda q: [max(0.0, q - margin), min(1.0, q + margin)]
+    first = rows.groupBy("__by").agg(*[F.count(c).alias(f"n_{c}") for c in of], *[F.percentile_approx(c, [x for q in at for x in around(q)], ACCURACY).alias(f"q_{c}") for c, at in of.items()])
+    sizes = {r[0]: r.asDict() for r in first.collect()}  # a row a key
+    open_: dict[tuple, tuple] = {}  # (key, column, rank) to (low, high): the value of that rank is between, all are if they are None
     for k, r in sizes.items():
         for c, at in of.items():
-            for q in at:
-                if n := r[f"n_{c}"]:
-                    for rank in (floor(q * (n - 1)), ceil(q * (n - 1))):
-                        spans[k, c, rank] = (None, None)
+            n = r[f"n_{c}"]
+            for j, q in enumerate(at if n else ()):
+                span = tuple(r[f"q_{c}"][2 * j : 2 * j + 2]) if n > MOST_VALUES else (None, None)
+                open_.update(dict.fromkeys([(k, c, floor(q * (n - 1))), (k, c, ceil(q * (n - 1)))], span))
     values: dict[tuple, float] = {}
-    while spans:
-        spans, values = _narrowed(rows, spans, values)
+    while open_:
+        counted = _counted(rows, sorted({(k, c, *span) for (k, c, _), span in open_.items()}, key=str))
+        few = {x: r for x, r in counted.items() if min(r[1], 2 * r[2]) <= MOST_VALUES or x[2] == x[3]}
+        seen = _seen(rows, few)
+        for (k, c, rank), span in list(open_.items()):
+            if (x := (k, c, *span)) in few:
+                below = few[x][0]
+                for v, n in seen[x]:
+                    if below <= rank < below + n:
+                        values[k, c, rank] = v
+                        del open_[k, c, rank]
+                        break
+                    below += n
+                else:
+                    raise ValueError("a rank isn't where the approximation has it")
+        if open_:
+            asked = list(open_.items())
+            shares = [(rank - counted[k, c, *span][0]) / (counted[k, c, *span][1] - 1) for (k, c, rank), span in asked]
+            got = rows.agg(*[F.percentile_approx(F.when(_inside(k, c, *span), F.col(c)), around(q), ACCURACY).alias(f"q{i}") for i, (((k, c, _), span), q) in enumerate(zip(asked, shares, strict=True))]).first()
+            open_ = {x: tuple(got[i]) for i, (x, _) in enumerate(asked)}
+    out: dict[object, dict[str, list[float]]] = {}
     for k, r in sizes.items():
         out[k] = {}
         for c, at in of.items():
             if n := r[f"n_{c}"]:
-                low = [values[k, c, floor(q * (n - 1))] for q in at]
-                high = [values[k, c, ceil(q * (n - 1))] for q in at]
-                out[k][c] = [a + (b - a) * (q * (n - 1) - floor(q * (n - 1))) for a, b, q in zip(low, high, at, strict=True)]
+                ends = [(values[k, c, floor(q * (n - 1))], values[k, c, ceil(q * (n - 1))], q * (n - 1) % 1) for q in at]
+                out[k][c] = [a + (b - a) * share for a, b, share in ends]
     return out
 
 
-def _narrowed(rows: DataFrame, spans: dict, values: dict) -> tuple[dict, dict]:
-    """One round: ranges with few values are settled, others halved many times over."""
+def _inside(k: object, c: str, low: float | None, high: float | None) -> Column:
+    ok = F.col("__by").eqNullSafe(F.lit(k)) & F.col(c).isNotNull()
+    return ok if low is None else ok & (F.col(c) >= low) & (F.col(c) <= high)
 
-    def inside(k: object, c: str, low: object, high: object) -> object:
-        ok = F.col("__by").eqNullSafe(F.lit(k)) & F.col(c).isNotNull()
-        return ok if low is None else ok & (F.col(c) >= low) & (F.col(c) <= high)
 
-    ranges = sorted({(k, c, *v) for (k, c, _), v in spans.items()}, key=str)
+def _counted(rows: DataFrame, ranges: list[tuple]) -> dict[tuple, tuple[int, int, int]]:
+    """Of each range (key, column, low, high): values below, between, and about how many different ones between."""
     sums = []
     for i, (k, c, low, high) in enumerate(ranges):
-        mine = inside(k, c, low, high)
-        sums += [F.count(F.when(mine, 1)).alias(f"n{i}"), F.approx_count_distinct(F.when(mine, F.col(c))).alias(f"k{i}")]
-        sums.append(F.count(F.when(F.col("__by").eqNullSafe(F.lit(k)) & (F.col(c) < low), 1)).alias(f"b{i}") if low is not None else F.lit(0).alias(f"b{i}"))
-    counted = rows.agg(*sums).first()
-    few = [i for i in range(len(ranges)) if counted[f"k{i}"] <= MOST_VALUES // 2 or ranges[i][2] == ranges[i][3] is not None]
-    if few:
-        parts = None
-        for i in few:
-            k, c, low, high = ranges[i]
-            part = rows.where(inside(k, c, low, high)).select(F.lit(i).alias("i"), F.col(c).cast("double").alias("x"))
-            parts = part if parts is None else parts.unionByName(part)
-        seen: dict[int, list[tuple[float, int]]] = {}
-        for r in parts.groupBy("i", "x").agg(F.count("*").alias("n")).collect():  # at most about MOST_VALUES a range
-            seen.setdefault(r.i, []).append((r.x, r.n))
-        for i in few:
-            at, before = sorted(seen.get(i, [])), counted[f"b{i}"]
-            for (k, c, rank), v in spans.items():
-                if (k, c, *v) == ranges[i]:
-                    below = before
-                    for x, n in at:
-                        below += n
-                        if before <= rank < below:
-                            values[k, c, rank] = x
-                            break
-                    else:
-                        raise ValueError("a rank isn't where the approximation has it")
-    left = {s: v for s, v in spans.items() if s not in values}
-    asked, sums = [], []
-    for (k, c, rank), v in left.items():
-        i = ranges.index((k, c, *v))
-        share = (rank - counted[f"b{i}"]) / max(1, counted[f"n{i}"] - 1)
-        asked.append((k, c, rank))
-        sums.append(F.percentile_approx(F.when(inside(k, c, *v), F.col(c)), [max(0.0, share - 2 / ACCURACY), min(1.0, share + 2 / ACCURACY)], ACCURACY).alias(f"q{len(asked) - 1}"))
+        mine = _inside(k, c, low, high)
+        below = F.lit(None) if low is None else F.when(F.col("__by").eqNullSafe(F.lit(k)) & (F.col(c) < low), 1)
+        sums += [F.count(below).alias(f"b{i}"), F.count(F.when(mine, 1)).alias(f"n{i}"), F.approx_count_distinct(F.when(mine, F.col(c))).alias(f"k{i}")]
+    r = rows.agg(*sums).first()
+    return {x: (r[f"b{i}"], r[f"n{i}"], r[f"k{i}"]) for i, x in enumerate(ranges)}
+
+
+def _seen(rows: DataFrame, ranges: dict[tuple, tuple[int, int, int]]) -> dict[tuple, list[tuple[float, int]]]:
+    """The values of each range in order, with their numbers."""
+    out = {x: [(x[2], r[1])] for x, r in ranges.items() if x[2] is not None and x[2] == x[3]}
+    asked = [x for x in ranges if x not in out]
+    for x in asked:
+        out[x] = []
     if asked:
-        got = rows.agg(*sums).first()
-        left = {s: tuple(got[f"q{j}"]) for j, s in enumerate(asked)}
-    return left, values
+        hit = F.array_compact(F.array(*[F.when(_inside(*x), F.struct(F.lit(i).alias("i"), F.col(x[1]).alias("v"))) for i, x in enumerate(asked)]))
+        for r in rows.select(F.explode(hit).alias("e")).groupBy("e.i", "e.v").agg(F.count("*").alias("n")).collect():  # few of a range
+            out[asked[r.i]].append((r.v, r.n))
+    return {x: sorted(v) for x, v in out.items()}
 
 
 def numbered(d: DataFrame, *by: str) -> DataFrame:

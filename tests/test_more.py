@@ -129,8 +129,9 @@ def test_quantiles_and_numbers(spark, monkeypatch):
     k = r.integers(0, 3, len(x))
     d = spark.createDataFrame([(int(b), float(a)) for a, b in zip(x, k, strict=True)] + [(0, None), (7, None)], "k int, x double")
     at = [0.0, 0.001, 0.25, 0.5, 0.995, 1.0]
-    for most in (50_000, 20):  # all values at once, and narrowed in several rounds
+    for most, accuracy in ((50_000, 10_000), (400, 100)):  # all values at once, and narrowed
         monkeypatch.setattr(ranks, "MOST_VALUES", most)
+        monkeypatch.setattr(ranks, "ACCURACY", accuracy)
         got = quantiles(d, {"x": at}, "k")
         assert set(got) == {0, 1, 2}
         for b in (0, 1, 2):
