@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peregrin.llm.common import drop_shuffles, staged
+from peregrin.llm.common import delete, fresh_path, scratch, staged, write
 from peregrin.llm.decontaminate import find_leaks
 from peregrin.llm.lines import dedup_lines
 from peregrin.llm.minhash import near_duplicates
@@ -49,7 +49,6 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     ordered = docs.select(*COLUMNS).orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     d = staged(ordered.withColumn("__key", F.monotonically_increasing_id()), "numbered")
-    drop_shuffles(docs.sparkSession)
     return _without(d, near_duplicates(d.withColumn("doc_id", F.col("__key")), percent=80).where(~F.col("kept")))
 
 
@@ -78,7 +77,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS), None
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = fresh_path(spark, name.replace(" ", "-"))
+        with scratch(spark):  # what a stage staged for itself, and what it read, isn't needed once its result is written
+            out = stage(spark, docs, sf_dir)
+            write(out, path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.schema(out.schema).parquet(path), path
     return docs

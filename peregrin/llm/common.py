@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +19,14 @@ WHITE = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where none is named, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; a local one only where none is named and the master is local, as in tests."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = getattr(sc, "_peregrin_dir", None)
         if where is None:
+            if not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
             where = sc._peregrin_dir = "file://" + tempfile.mkdtemp(prefix="peregrin-")
             sc.setCheckpointDir(where)
     elif not sc.getCheckpointDir():
@@ -33,15 +34,59 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_SCRATCH: list[list[str]] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for opened in _SCRATCH:
+        opened.append(path)
+    return path
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Remove folders, through whatever file system they are on."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What fresh_path names inside is removed at the end: for work whose result is written elsewhere by then."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        delete(spark, *_SCRATCH.pop())
+
+
+def write(df: DataFrame, path: str, compression: str = "zstd") -> None:
+    """Write a table, and let the shuffle files of doing so go at once: nothing reads them again."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
 
 
 def staged(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, and a lost executor loses nothing of it."""
     path = fresh_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    write(df, path, compression)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._peregrin_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing lazy refers to any more."""
+    for t in tables:
+        delete(t.sparkSession, t._peregrin_path)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -50,13 +95,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def drop_shuffles(spark: SparkSession) -> None:
-    """Let the cleaner remove shuffle files of plans that are no longer referenced, before more are written."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.5)
-
-
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -6,10 +6,10 @@
 3. Candidate pairs are verified in batches of signature places: a pair is dropped once the posterior chance (uniform
    prior) that its similarity reaches the threshold falls below `miss`; survivors are compared exactly on their full sets.
 4. Pairs are never all pairs of a bucket. First each class is compared with one centre of each of its buckets, the
-   smallest, then with the best linked one; what is linked by then is one component. Only then do classes of *different*
-   components that share a bucket meet, and of these only pairs whose similarity can reach the threshold, by exact bounds
-   from what each shares with the bucket's centre and from its shingles that no other class left has. So no link between components is lost, and a
-   large group of near copies emits pairs about in proportion to its links.
+   smallest, then with the best linked one; what is linked by then is one component. Classes in buckets that still hold several
+   components are joined by rare shingles: with shingles in the order of how many such classes have them, two sets that reach the
+   threshold share one among the first few of both (prefix filter; fewer of the smaller set), and have enough left behind it (positional
+   filter). That loses no link between components, whatever the buckets hold, and what many texts share is no key.
 
 Bands lose a link at the threshold with chance (1 - t**ROWS)**BANDS: 5e-11 at 0.85, 5e-8 at 0.8.
 Shingle sets are built again for the classes in shared buckets alone, as sorted 64-bit hashes.
@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_shuffles, schema, staged, texts, word_hashes
+from .common import discard, schema, slices, staged, texts, word_hashes
 from .components import components
 
 WORDS, PLACES, BANDS, ROWS, BATCH = 5, 128, 32, 4, 16
@@ -82,8 +82,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 1024):
-                part = b.slice(i, 1024)
+            for part in slices(b, "text"):
                 n, fp, sig = [], [], []
                 for s in shingle_sets(part.column("text")):
                     n.append(len(s))
@@ -100,27 +99,39 @@ def _sets(wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
+            for part in slices(b, "text"):
                 got = [(v, s.tobytes()) for v, fp, s in zip(part.column("v").to_pylist(), part.column("fp").to_pylist(), shingle_sets(part.column("text")), strict=True) if xxhash.xxh3_128_digest(s.tobytes()) == fp]
                 yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary())], names=["v", "set"])
 
     return wanted.mapInArrow(run, schema("v long, set binary"))
 
 
-def _own(sets: DataFrame) -> DataFrame:
-    """(v, set) to (v, n, shared): its shingles, and those that another v has too. Both null for an id with several sets."""
+def _shingles(sets: DataFrame) -> DataFrame:
+    """(v, component, set) to a row a shingle: (v, component, n, h)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for v, s in zip(b.column("v").to_pylist(), b.column("set").to_pylist(), strict=True):
+            for v, c, s in zip(b.column("v").to_pylist(), b.column("component").to_pylist(), b.column("set").to_pylist(), strict=True):
                 h = np.frombuffer(s, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), v)), pa.array(h)], names=["v", "h"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(h), x)) for x in (v, c, len(h))), pa.array(h)], names=["v", "component", "n", "h"])
 
-    alone = sets.mapInArrow(run, schema("v long, h long")).groupBy("h").agg(F.count("*").alias("k"), F.min("v").alias("v")).where("k = 1").groupBy("v").agg(F.count("*").alias("alone"))
-    sizes = sets.groupBy("v").agg(F.count("*").alias("k"), F.max(F.octet_length("set") / 8).cast("long").alias("n"))
-    n = F.when(F.col("k") == 1, F.col("n"))
-    return sizes.join(alone, "v", "left").select("v", n.alias("n"), (n - F.coalesce("alone", F.lit(0))).alias("shared"))
+    return sets.mapInArrow(run, schema("v long, component long, n long, h long"))
+
+
+def _across(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes (v, component) of different components, with all whose similarity reaches the threshold among them."""
+    every = _shingles(sets.join(left, "v"))
+    common = every.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
+    w = Window.partitionBy("v", "n").orderBy("k", "h")
+    ranked = every.join(common, "h").withColumn("alone", F.col("n") - F.count("*").over(Window.partitionBy("v", "n")))
+    ranked = ranked.withColumn("pos", F.col("alone") + F.row_number().over(w) - 1)  # those that no other class has come first
+    ranked = staged(ranked.where(f"pos <= n - ({percent} * n + 99) div 100").select("h", "v", "component", "n", "pos"), "prefixes")
+    small = ranked.where(f"pos <= n - (2 * {percent} * n + {99 + percent}) div {100 + percent}").select("h", *[F.col(c).alias(f"{c}_a") for c in ("v", "component", "n", "pos")])
+    large = ranked.select("h", *[F.col(c).alias(f"{c}_b") for c in ("v", "component", "n", "pos")])
+    fits = (F.col("n_a") <= F.col("n_b")) & (100 * F.col("n_a") >= percent * F.col("n_b")) & (F.col("component_a") != F.col("component_b"))
+    most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))  # the first shingle that both have, and what follows it
+    enough = (100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))
+    return small.join(large, "h").where(fits & enough).select(F.least("v_a", "v_b").alias("a"), F.greatest("v_a", "v_b").alias("b")).distinct()
 
 
 def _with_both(p: DataFrame, t: DataFrame, what: str) -> DataFrame:
@@ -128,17 +139,6 @@ def _with_both(p: DataFrame, t: DataFrame, what: str) -> DataFrame:
     return p.join(t.select(F.col("v").alias("b"), F.col(what).alias(f"{what}_b")), "b").select("a", "b", f"{what}_a", f"{what}_b")
 
 
-def _common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) to (v, centre, held): the shingles of a that b has."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            held = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(held, pa.int64())], names=["v", "centre", "held"])
-
-    return _with_both(pairs, sets, "set").mapInArrow(run, schema("v long, centre long, held long")).groupBy("v", "centre").agg(F.max("held").alias("held"))
-
-
 def _verified(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
     """The pairs (a, b) that are links. Joins are on one class's id; adaptive execution splits those of a hot centre."""
     least = least_matches(percent / 100, miss)
@@ -178,53 +178,37 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-7) -> D
     docs = texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NULL)))
     base = staged(_profiles(docs), "minhash")
     classes = staged(base.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("v"), F.any_value("sig").alias("sig")), "classes")
-    drop_shuffles(docs.sparkSession)
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * 4 * ROWS + 1, F.lit(4 * ROWS))))
     bands = classes.select("v", F.explode(keys).alias("key"))
     shared = bands.groupBy("key").agg(F.min("v").alias("centre"), F.max("v").alias("last")).where("centre < last").select("key", "centre")
-    buckets = cut(bands.join(shared, "key").select("key", "v", "centre"))
+    buckets = staged(bands.join(shared, "key").select("key", "v", "centre"), "buckets")
     members = buckets.select("v").distinct()
     sigs = staged(classes.join(members, "v", "left_semi").select("v", "fp", "sig"), "candidates")
     sets = staged(_sets(docs.join(sigs.select("v", "fp"), F.col("doc_id") == F.col("v")).select("v", "fp", "text")).dropDuplicates(["v", "set"]), "sets")
-    drop_shuffles(docs.sparkSession)
 
     star = buckets.where("v <> centre").select(F.col("v").alias("a"), F.col("centre").alias("b")).distinct()
-    links = cut(_verified(star, sigs, sets, percent, miss))
-    drop_shuffles(docs.sparkSession)
+    links = staged(_verified(star, sigs, sets, percent, miss), "links")
     labels = components(links)
 
-    def labelled(b: DataFrame) -> DataFrame:
-        return b.join(labels, "v", "left").select("key", "v", F.coalesce("component", "v").alias("component"))
-
-    def split(b: DataFrame) -> DataFrame:
-        """The rows of buckets that still hold more than one component."""
-        several = b.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-        return b.join(several, "key", "left_semi")
+    def unsettled(b: DataFrame) -> DataFrame:
+        """The rows of buckets that hold more than one component: key, v, component."""
+        labelled = b.join(labels, "v", "left").select("key", "v", F.coalesce("component", "v").alias("component"))
+        several = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+        return labelled.join(several, "key", "left_semi")
 
     degree = links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").alias("degree"))
-    left = cut(split(labelled(buckets)).join(degree, "v", "left"))
+    left = staged(unsettled(buckets).join(degree, "v", "left"), "buckets")
+    discard(buckets)
     centres = left.groupBy("key").agg(F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("d"), (-F.col("v")).alias("low"), F.col("component").alias("c"))).alias("m")).select("key", (-F.col("m.low")).alias("centre"), F.col("m.c").alias("of"))
     star = left.join(centres, "key").where("component <> of").select(F.col("v").alias("a"), F.col("centre").alias("b")).distinct()
-    links = cut(links.unionByName(_verified(star, sigs, sets, percent, miss)))
-    drop_shuffles(docs.sparkSession)
-    labels = cut(components(links))
-
-    left = cut(split(labelled(buckets.select("key", "v"))).join(centres.select("key", "centre"), "key"))
-    common = _common(left.select(F.col("v").alias("a"), F.col("centre").alias("b")).distinct(), sets)
-    places = left.groupBy("v").agg(F.collect_set("key").alias("keys"))  # BANDS at most for a set
-    left = left.join(_own(sets.join(left.select("v").distinct(), "v", "left_semi")), "v", "left").join(places, "v").join(common, ["v", "centre"], "left")
-    left = cut(left.select("key", "v", "component", "n", "shared", "held", "keys"))
-    drop_shuffles(docs.sparkSession)
-    other = left.select("key", *[F.col(c).alias(f"{c}_b") for c in left.columns[1:]])
-    # what two classes share is what both share with the bucket's centre, and of the rest only what others here have too
-    most = F.least("shared", "shared_b", F.least("held", "held_b") + F.greatest(F.lit(0), F.least(F.col("shared") - F.col("held"), F.col("shared_b") - F.col("held_b"))))
-    possible = F.coalesce(100 * most >= percent * (F.col("n") + F.col("n_b") - most), F.lit(True))
-    once = F.array_min(F.array_intersect("keys", "keys_b")) == F.col("key")  # a pair comes from one bucket; what any bucket rules out is no link
-    rest = left.join(other, "key").where((F.col("component") < F.col("component_b")) & possible & once).select(F.col("v").alias("a"), F.col("v_b").alias("b")).distinct()
-    more = cut(_verified(rest, sigs, sets, percent, miss))
-    drop_shuffles(docs.sparkSession)
+    links = staged(links.unionByName(_verified(star, sigs, sets, percent, miss)), "links")
+    labels = staged(components(links), "labels")
+
+    rest = _across(unsettled(left.select("key", "v")).select("v", "component").distinct(), sets, percent)
+    more = staged(_verified(rest, sigs, sets, percent, miss), "links")
     if not more.isEmpty():
-        labels = cut(components(links.unionByName(more)))
+        labels = components(links.unionByName(more))
+    discard(sigs, sets, left)
 
     of = classes.select("fp", "v").join(labels, "v", "left").select("fp", F.coalesce("component", "v").alias("component"))
     back = lambda c: F.when(c != _NULL, c)

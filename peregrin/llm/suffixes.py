@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_shuffles, flat, parts, schema, slices, staged, texts
+from .common import discard, flat, parts, schema, slices, staged, texts
 
 LENGTH, GRAM = 100, 32
 LEFT = LENGTH - GRAM
@@ -490,10 +490,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     n = parts(docs.sparkSession)
     found = staged(repeated_anchors(docs, n), "repeated-anchors")
-    drop_shuffles(docs.sparkSession)
     few = found.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, found.count() // 4000))) == 0)
     splitters = _splitters(docs.join(F.broadcast(few), "doc_id"), n)  # about 4000 rows
-    return _merge(_runs(docs.join(found, "doc_id"), splitters), n).groupBy("doc_id", "t").agg(F.collect_list("spans").alias("spans"))
+    spans = _merge(_runs(docs.join(found, "doc_id"), splitters), n).groupBy("doc_id", "t").agg(F.collect_list("spans").alias("spans"))
+    spans = staged(spans, "repeated-spans")
+    discard(found)
+    return spans
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
@@ -504,8 +506,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     strings at the same offset of both aren't earlier than each other. Null ids come first. An empty table gives no rows.
     """
     d = texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NULL))).withColumn("t", F.xxhash64("text"))
-    spans = staged(repeated_spans(d), "repeated-spans")
-    drop_shuffles(docs.sparkSession)
+    spans = repeated_spans(d)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_shuffles, flat, fresh_path, parts, schema, slices, staged, texts
+from .common import discard, flat, fresh_path, parts, schema, slices, staged, texts, write
 
 BITS, LOW, LANES, EVERY, BLOCK = 20, 1 << 31, 512, 128, 1 << 17
 _MAGIC, _HEAD = b"PRANS\x00\x01\x00", struct.Struct("<8sQIIII")
@@ -314,8 +314,6 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
     kind = "<u2" if max(len(Encoder(vocabulary).leads), end_id + 1) <= 1 << 16 else "<u4"
     ordered = texts(docs).repartitionByRange(parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     raw = staged(ordered.mapInArrow(tokenise, schema(_BLOCKS)), "raw-tokens")
-    del ordered
-    drop_shuffles(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << 16, np.int64)
@@ -338,7 +336,8 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int =
                 row = [b.column(c)[i].as_py() for c in _NAMES]
                 yield _row(*row[:-1], encode_block(np.frombuffer(row[-1], kind).astype(np.uint32), table))
 
-    raw.mapInArrow(encode, schema(_BLOCKS)).write.option("compression", "none").parquet(f"{path}/blocks")
+    write(raw.mapInArrow(encode, schema(_BLOCKS)), f"{path}/blocks", "none")
+    discard(raw)
 
 
 _NULL = -(2**63)
