@@ -20,9 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, cut, staged, texts
+from .common import WHITE, fresh_path, scratch, staged, texts, write
 
 SPAN, LEAST_CHARS = 64, 24
+#: Lines with more than this share of all occurrences are hot: there are fewer than its inverse of them.
+HOT = 1 / 20_000
 _NULL = -(2**63)
 ID, PLACE = ["a", "b"], ["doc_id", "line_no"]
 
@@ -65,7 +67,7 @@ def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     sides = F.array(*[F.struct(F.lit(first).alias("first"), (F.col("len") - less).cast("int").alias("n"), F.col(f"k{i}").alias("key")) for i, (first, less) in enumerate(_SIDES)])
     keyed = distinct.where(F.col("len") >= LEAST_CHARS).select(*ID, *PLACE, F.explode(sides).alias("s")).select(*ID, *PLACE, "s.*")
     several = lambda d: d.groupBy("key").agg(F.min("a").alias("x"), F.max("a").alias("y")).where("x < y").select("key")
-    halves = cut(keyed.join(several(keyed), "key", "left_semi").select(*ID, *PLACE, "first", "n"))
+    halves = staged(keyed.join(several(keyed), "key", "left_semi").select(*ID, *PLACE, "first", "n"), "halves")
 
     wanted = halves.groupBy("doc_id").agg(F.collect_set("line_no").alias("nos"))  # of one document
     numbered = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line_no"), x.alias("line"))), lambda x: F.array_contains("nos", x["line_no"]))
@@ -82,7 +84,7 @@ def near_lines(distinct: DataFrame, docs: DataFrame) -> DataFrame:
     head, tail = F.substring("line", F.lit(1), F.col("from")), F.substring(F.col("line"), F.col("len") - rest + 1, rest)
     middle = F.substring(F.col("line"), F.col("from") + 1, F.col("len") - rest - F.col("from"))
     blocks = blocks.select(*ID, *PLACE, F.xxhash64("n", "from", "to", head, tail).alias("key"), middle.alias("middle"), (F.col("len") - F.col("n")).alias("more"))
-    blocks = cut(blocks.join(several(blocks), "key", "left_semi"))
+    blocks = staged(blocks.join(several(blocks), "key", "left_semi"), "blocks")
 
     size = F.length("middle")
     without = lambda i: F.concat(F.substring(F.col("middle"), F.lit(1), i - 1), F.substring(F.col("middle"), i + 1, size))
@@ -115,12 +117,20 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     d = _documents(docs, key, text)
     occurrences = _occurrences(d)
     keys = occurrences.select(*_hashed(), F.struct(*PLACE).alias("place"), F.length("line").alias("len"), *_half_keys(F.col("line")))
-    distinct = keys.groupBy(*ID).agg(F.min("place").alias("place"), *[F.min(c).alias(c) for c in ("len", "k0", "k1", "k2", "k3")])
-    distinct = staged(distinct.select(*ID, "place.*", "len", "k0", "k1", "k2", "k3"), "distinct-lines")
-    near = near_lines(distinct, d).withColumn("near", F.lit(True))
-    known = distinct.select(*ID, F.struct(*PLACE).alias("first")).join(near, ID, "left")
-    at = occurrences.select("doc_id", "t", "line_no", *_hashed()).join(known, ID)
-    gone = F.coalesce("near", F.lit(False)) | (F.col("first") < F.struct(*PLACE))
+    distinct = keys.groupBy(*ID).agg(F.min("place").alias("place"), F.count("*").alias("k"), *[F.min(c).alias(c) for c in ("len", "k0", "k1", "k2", "k3")])
+    distinct = staged(distinct.select(*ID, "place.*", "k", "len", "k0", "k1", "k2", "k3"), "distinct-lines")
+    path = fresh_path(d.sparkSession, "near")
+    with scratch(d.sparkSession):
+        write(near_lines(distinct, d), path)
+    near = d.sparkSession.read.schema("a long, b long").parquet(path).withColumn("near", F.lit(True))
+    known = distinct.select(*ID, "k", F.struct(*PLACE).alias("first")).join(near, ID, "left").select(*ID, "k", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    most = F.lit((distinct.agg(F.sum("k")).first()[0] or 0) * HOT)
+    hot = known.where(F.col("k") > most).select(*ID, F.col("first").alias("hot_first"), F.col("near").alias("hot_near"))  # fewer than 1 / HOT rows
+    rest = known.where(F.col("k") <= most).select(F.col("a").alias("ra"), F.col("b").alias("rb"), "first", "near")
+    at = occurrences.select("doc_id", "t", "line_no", *_hashed()).join(F.broadcast(hot), ID, "left")
+    # occurrences of hot lines know all by now: they go anywhere
+    at = at.join(rest, (F.when(F.col("hot_first").isNull(), F.col("a")).otherwise(F.xxhash64(*PLACE)) == F.col("ra")) & (F.when(F.col("hot_first").isNull(), F.col("b")).otherwise(F.xxhash64("line_no", "doc_id")) == F.col("rb")), "left")
+    gone = F.coalesce("hot_near", "near") | (F.coalesce("hot_first", "first") < F.struct(*PLACE))
     return at.groupBy("doc_id", "t").agg(F.count_distinct("line_no").alias("n_lines"), F.sort_array(F.collect_set(F.when(gone, F.col("line_no")))).alias("removed"))
 
 
