@@ -150,6 +150,16 @@ class Encoder:
                 yield ids, ends
 
 
+_LEARNED: dict[str, Encoder] = {}
+
+
+def learned(path: str) -> Encoder:
+    """The worker process's own encoder: it keeps the words it has met for the tasks to come."""
+    if path not in _LEARNED:
+        _LEARNED[path] = Encoder(path)
+    return _LEARNED[path]
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     at = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int32), *arrays]).astype(np.int32)))
@@ -157,7 +167,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 def _encoding(model: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(model)
+        enc = learned(model)
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)

@@ -83,7 +83,7 @@ def js_distance(p: Column, q: Column) -> Column:
     share = lambda a: let(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), lambda t: F.when(t > 0, F.transform(a, lambda x: x / t)))
     part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
     both = let(F.struct(share(p).alias("p"), share(q).alias("q")), lambda s: F.aggregate(F.zip_with(s["p"], s["q"], lambda x, y: let((x + y) / 2, lambda m: part(x, m) + part(y, m))), F.lit(0.0), lambda t, x: t + x))
-    return F.sqrt(F.greatest(F.lit(0.0), both) / 2)
+    return let(both, lambda b: F.when(b.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), b) / 2)))
 
 
 def quality(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: float = MAX_WORD_DISTANCE, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:

@@ -39,6 +39,8 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, key: str = "doc_id", text
         at[p] = (rows, size)
         rows, size = rows + n, size + b
 
+    bounds = np.array([-(-2 * size * s // n_shards) for s in range(1, n_shards)], np.int64)  # of twice the middle byte
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -46,7 +48,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, key: str = "doc_id", text
         for b in batches:
             sizes = b.column("size").to_numpy(zero_copy_only=False).astype(np.int64)
             ends = before + np.cumsum(sizes)
-            shard = [min(n_shards - 1, (2 * int(e) - int(s)) * n_shards // (2 * size)) for e, s in zip(ends, sizes, strict=True)]
+            shard = np.searchsorted(bounds, 2 * ends - sizes, "right")
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("size"), b.column("text_crc32"), pa.array(np.arange(row, row + len(sizes))), pa.array(shard, pa.int32())], names=["doc_id", "size", "text_crc32", "row", "shard"])
             row += len(sizes)
             before = int(ends[-1]) if len(ends) else before
