@@ -59,6 +59,13 @@ def test_shards(docs, texts, empty):
     assert [x.shard for x in r] == sorted(x.shard for x in r)
     assert sorted((x.size, x.text_crc32) for x in r) == sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t in texts)
     assert max(size.values()) - min(size.values()) <= 2 * max(x.size for x in r)
+    rows = sorted((k is not None, k or 0, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for k, t in texts)
+    total, before, want, slots = sum(x[2] for x in rows), 0, [], collections.Counter()
+    for _, _, n, crc in rows:  # the document whose middle byte is in a shard's share of all bytes
+        shard = max(s for s in range(8) if 2 * total * s <= (2 * before + n) * 8)
+        want.append((n, crc, shard, slots[shard]))
+        before, slots[shard] = before + n, slots[shard] + 1
+    assert [(x.size, x.text_crc32, x.shard, x.slot) for x in r] == want
     assert sharding.shard_by_bytes(empty).count() == 0
 
 
@@ -213,7 +220,9 @@ def removed_lines(rows):
     return out
 
 
-def test_lines(spark, docs, empty):
+@pytest.mark.parametrize("hot", [lines.HOT, 0.05])
+def test_lines(spark, docs, empty, hot, monkeypatch):
+    monkeypatch.setattr(lines, "HOT", hot)
     r = random.Random(7)
     base = ["".join(r.choice("ab c") for _ in range(n)) for n in (24, 25, 63, 64, 65, 129, 200)]
     rows = []
@@ -371,6 +380,42 @@ def test_quality(spark, docs, texts, empty):
     assert quality.quality(empty).count() == 0
 
 
+def test_verdict_of_quality(spark):
+    """kept and both distances against plain Python, with references pooled over the rows that the base rules leave."""
+    r = random.Random(9)
+    english = quality.COMMON["en"] + "house river stone walking Green morning".split()
+    rows = [(i, lang, " ".join(r.choice(words) + r.choice(["", "", ",", "."]) for _ in range(n))) for i, (lang, words, n) in enumerate([("en", english, 200)] * 12 + [("en", ["zq!!", "$$", "123", "XK"], 120)] * 2 + [("de", quality.COMMON["de"] + ["Haus", "Öl"], 90)] * 6 + [("xx", english, 100)] + [("en", english, 60), ("en", ["the"], 90)])]
+    rows += [(99, None, None), (100, "en", "")]
+    got = {x.doc_id: x for x in quality.quality(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()}
+    classes = [r"[a-z]", r"[A-Z]", r"[0-9]", r"[.,;:!?'\"()\-]", r"[#*$%&|<>]", r"[^\x00-\x7F]"]
+    hist = {}
+    for k, lang, t in rows:
+        words, chars = re.findall(r"[^\x20\x09-\x0D]+", t or ""), re.sub(r"[\x20\x09-\x0D]", "", t or "")
+        counts = []
+        for c in classes:
+            counts.append(len(re.findall(c, chars)))
+            chars = re.sub(c, "", chars)
+        common = quality.COMMON.get(lang, [])
+        own = [sum(w in (c, c.capitalize(), c.upper()) for w in words) for c in common]
+        hist[k] = (np.array([*counts, len(chars)]), np.array([*own, len(words) - sum(own)]), len(words), sum(map(len, words)))
+
+    def distance(p, q):
+        p, q = p / p.sum(), q / q.sum()
+        m = (p + q) / 2
+        part = lambda x: sum(a * np.log2(a / b) for a, b in zip(x, m, strict=True) if a)
+        return np.sqrt(max(0, part(p) + part(q)) / 2)
+
+    verdicts = set()
+    for k, lang, _ in rows:
+        of = [j for j, x, _ in rows if x == lang and lang in quality.COMMON and not got[j].base_failed]
+        c = distance(hist[k][0], sum(hist[j][0] for j in of)) if of and hist[k][3] >= quality.MIN_CHARS else None
+        w = distance(hist[k][1], sum(hist[j][1] for j in of)) if of and hist[k][2] >= quality.MIN_WORDS else None
+        assert got[k].class_distance == pytest.approx(c, abs=1e-9) and got[k].word_distance == pytest.approx(w, abs=1e-9)
+        assert got[k].kept == (not got[k].base_failed and (c or 0) <= quality.MAX_CLASS_DISTANCE and (w or 0) <= quality.MAX_WORD_DISTANCE)
+        verdicts.add((got[k].base_failed, got[k].kept))
+    assert verdicts == {(True, False), (False, False), (False, True)}
+
+
 def test_js_distance(spark):
     p, q = [3, 1, 0, 6], [1, 1, 5, 3]
     r = spark.createDataFrame([(p, q)], "p array<long>, q array<long>").select(quality.js_distance(F.col("p"), F.col("q"))).first()[0]
@@ -453,6 +498,12 @@ def test_pieces(docs, texts, empty):
     size = {(k, tuple(sp.encode(t or ""))): len((t or "").encode()) for k, t in texts}
     for r in got:
         assert r.decoded == sp.decode(r.ids) and (r.ends[-1] if r.ends else 0) == size[r.doc_id, tuple(r.ids)]
+    whole = {str(r.ids): r.ends for r in got}
+    for _, t in texts:
+        said = sp.encode(t or "", return_type="proto").pieces
+        ends = whole[str([p.id for p in said])]
+        for e, p in zip(ends, said, strict=True):  # the library gives the bytes of a character without a piece one span
+            assert e == p.end or p.piece.startswith("<0x")
     assert pieces.encode(empty, path).count() == 0
 
 
