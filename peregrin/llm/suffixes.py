@@ -6,8 +6,9 @@ LENGTH-byte string. Anchors depend on the string's bytes alone, so equal strings
 
 0. Strings that stand a period of at most LEFT bytes earlier in the same text are found there and need no anchor, so that long
    runs of a letter or pattern have a few anchors instead of one a byte.
-1. Anchors whose GRAM bytes stand nowhere else fall away. Hashes meet by bucket; a task sends a distinct hash of its documents once,
-   so that a passage in a third of all documents is a record a task. What repeats is packed by the bucket of its document, a row for
+1. Anchors around which no LENGTH bytes can repeat fall away: such a string holds the SIDE bytes from the anchor on, or those that end
+   with its gram, so one of the two stands elsewhere too (a common gram in other company doesn't count). Their hashes meet by bucket; a
+   task sends a distinct hash of its documents once, so that a passage in a third of all documents is a record a task. What repeats is packed by the bucket of its document, a row for
    each pair of buckets, and unpacked to a row a document.
 2. Each partition sorts the suffixes at what is left, by the bytes from the anchor on and then those before it, as far as any LENGTH-byte string
    with the anchor reaches. Equal ones become the earliest (others are covered whole). The sorted run is front-coded and
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, flat, parts, schema, slices, staged, texts
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM, SIDE = 100, 32, 64
 LEFT = LENGTH - GRAM
 WIDTH = LENGTH + LEFT
 _NULL = -(2**63)
@@ -74,8 +75,8 @@ def periodic(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.concatenate(every) if every else np.zeros((0, 2), np.int64)
 
 
-def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of texts end to end (text i is data[at[i] : at[i + 1]]): where anchors are, and the hashes of their GRAM bytes."""
+def anchors(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of texts end to end (text i is data[at[i] : at[i + 1]]): where anchors are."""
     again = np.zeros(len(data) + 1, np.int32)
     spans = periodic(data, at)
     np.add.at(again, spans[:, 0], 1)
@@ -84,7 +85,7 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = at[1:] - LENGTH + 1
     for s, e in zip(np.maximum(at[:-1], starts), at[1:], strict=True):  # such strings would cross the text's end
         again[s:e] = True
-    places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    places = [np.zeros(0, np.int64)]
     for c in range(0, len(data) - LENGTH + 1, _CHUNK):  # strings that start from here on
         part = data[c : c + _CHUNK + LENGTH - 1]
         h, step, power = part.astype(np.uint64) + np.uint64(1), 1, _A
@@ -97,13 +98,27 @@ def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low[again[c : c + len(low)]] = 0
         edge = np.zeros(w - 1, np.uint64)
         best = _sliding(np.maximum, np.concatenate([edge, low, edge]), w)
-        got = np.flatnonzero(best == h)
-        if places[-1].size and len(got):
-            got = got[got + c > places[-1][-1]]  # both chunks may have those at the seam
-        if len(got):
-            places.append(got + c)
-            hashes.append(h[got])
-    return np.concatenate(places), np.concatenate(hashes)
+        got = np.flatnonzero(best == h) + c
+        if places[-1].size:
+            got = got[got > places[-1][-1]]  # both chunks may have those at the seam
+        if got.size:
+            places.append(got)
+    return np.concatenate(places)
+
+
+def _sides(data: np.ndarray, at: np.ndarray, where: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the SIDE bytes from anchors on and of those that end with their grams, one after the other, and the number of the anchor of each."""
+    window = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(SIDE, np.uint8)]), SIDE)
+    hashes, of = [], []
+    for salt, start in enumerate((where, where - (SIDE - GRAM))):
+        fits = np.flatnonzero((start >= at[d]) & (start + SIDE <= at[d + 1]))
+        words = np.ascontiguousarray(window[start[fits]]).view("<u8")
+        h = np.full(len(fits), salt, np.uint64)
+        for j in range(SIDE // 8):
+            h = _mix((h ^ words[:, j]) * np.uint64(_A))
+        hashes.append(h)
+        of.append(fits)
+    return np.concatenate(hashes), np.concatenate(of)
 
 
 def _sliding(of: np.ufunc, x: np.ndarray, w: int) -> np.ndarray:
@@ -177,7 +192,7 @@ def _home(doc: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, pos): the anchors whose GRAM-byte hash more than one place has, a row a document."""
+    """(doc_id, pos): the anchors of which the hash of one side more than one place has, a row a document."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -191,16 +206,17 @@ def repeated_anchors(docs: DataFrame, buckets: int) -> DataFrame:
             one = rec[~again]
             again[:-1] |= again[1:]  # several places here: known to repeat
             known = rec[again][["doc", "pos"]].astype(_OCC)
-            recs, occ = _dealt(one, (one["h"] >> np.uint64(1)) % np.uint64(buckets)), _dealt(known, _home(known["doc"], buckets))
+            recs, occ = _dealt(one, one["h"] % np.uint64(buckets)), _dealt(known, _home(known["doc"], buckets))
             return _arrow([(k, recs.get(k), occ.get(k)) for k in sorted({*recs, *occ})], ("bucket", "recs", "occ"), [pa.int64(), pa.binary(), pa.binary()])
 
         for b in batches:
             for part in slices(b, "text"):
                 data, at = flat(part.column("text"))
-                where, h = anchors(data, at)
+                where = anchors(data, at)
                 d = np.searchsorted(at, where, "right") - 1
+                h, i = _sides(data, at, where, d)
                 rec = np.empty(len(h), _REC)
-                rec["h"], rec["doc"], rec["pos"] = h, part.column("doc_id").to_numpy()[d], where - at[d]
+                rec["h"], rec["doc"], rec["pos"] = h, part.column("doc_id").to_numpy()[d[i]], (where - at[d])[i]
                 held.append(rec)
                 if sum(map(len, held)) >= 4 * _BATCH:
                     yield send()
