@@ -22,7 +22,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """docs with __key, a hash of what verdicts depend on and the id; never null, equal for repeated rows only."""
-    return docs.withColumn("__key", F.xxhash64("doc_id", F.col("text").isNull(), "text", F.col("lang").isNull(), "lang"))
+    return docs.select(*COLUMNS).withColumn("__key", F.xxhash64("doc_id", F.col("text").isNull(), "text", F.col("lang").isNull(), "lang"))
 
 
 def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
@@ -31,13 +31,22 @@ def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the base rules or the divergence from their language reject."""
+    """Drop documents that the base rules or the divergence from their language reject.
+
+    A null or empty text goes, as it has too few words; a null or unknown language leaves the base rules alone to decide. Repeated rows
+    share their verdict. An empty table stays empty.
+    """
     d = _keyed(docs)
     return _without(d, quality(d.withColumn("doc_id", F.col("__key"))).where(~F.col("kept")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take out lines that stand earlier; drop documents of which no line with a word is left."""
+    """Take out lines that stand earlier; drop documents of which no line with a word is left.
+
+    Earlier is a smaller doc_id (null first), then a smaller number of the line; equal lines of rows that share an id are at one place if
+    at the same number. So of repeated rows all stay or none. A null text goes; one without a word in any line stays as it
+    is. Texts of any length are taken whole. An empty table stays empty.
+    """
     out = dedup_lines(docs.select(*COLUMNS))
     return out.where(F.col("text").isNotNull()).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
@@ -45,7 +54,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group linked at a similarity of 0.8: that of the smallest doc_id (null first), then by a hash of the text.
 
-    Rows are numbered in that order, so rows of one id are apart. Rows without a word are linked to none.
+    Rows are numbered in that order, so rows of one id are apart, and of repeated rows one stays. Null texts and texts without a word are
+    linked to none and stay. An empty table stays empty.
     """
     ordered = docs.select(*COLUMNS).orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     d = staged(ordered.withColumn("__key", F.monotonically_increasing_id()), "numbered")
@@ -53,13 +63,20 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
+    """Drop documents that hold a benchmark item.
+
+    Null and empty texts hold none, null and empty items are in none. Repeated rows share their verdict. An empty table of either kind drops
+    nothing.
+    """
     d = _keyed(docs)
     return _without(d, find_leaks(d.withColumn("doc_id", F.col("__key")), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode and decode what is left: doc_id, n_tokens, ids_sha256, decoded_sha256, covered."""
+    """Encode and decode what is left: doc_id, n_tokens, ids_sha256, decoded_sha256, covered.
+
+    A row a document, null ids and repeated rows included; a null or empty text has no ids, and the digests of nothing.
+    """
     import public_tokenizers
 
     return digests(docs, public_tokenizers.path("piece_bpe_32k.model"))

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import os
 import random
 import re
 import struct
@@ -582,3 +583,30 @@ def test_stages_judge_rows(spark, tmp_path):
     assert left(pipeline.quality_rules) == collections.Counter((k, t) for k, t in rows if "zz" not in t)
     assert left(pipeline.benchmark_decontamination) == collections.Counter((k, t) for k, t in rows if t != leak)
     assert left(pipeline.minhash_near_dedup) == collections.Counter({(k, t) for k, t in rows} - {(1, leak), (2, clean[3])})
+
+
+def test_stages_of_empty_tables_and_odd_rows(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, rows, items in (("none", [], []), ("odd", [(None, None, None, None, None), (1, "", None, None, None), (2, " \n\t", "en", None, None), (3, None, "en", "s", 0), (4, prose(300, 1), None, None, None), (4, prose(300, 1), None, None, None)], [(1, None), (2, ""), (None, "xyzzy")])):
+        folder = f"file://{tmp_path}/{name}"
+        spark.createDataFrame(rows, kind).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        assert [r.doc_id for r in pipeline.run(spark, folder).collect()] == ([4] if rows else [])
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        clash = docs.selectExpr("*", "1 as __key", "'x' as item_id", "2 as v", "3 as h", "4 as k", "5 as kept", "6 as fp")
+        for title, stage in pipeline.STAGES[:4]:
+            same = lambda d: collections.Counter(map(str, d.collect()))
+            assert same(stage(spark, clash, folder)) == same(stage(spark, docs, folder)), title
+
+
+def test_scratch_is_removed(spark, tmp_path):
+    from peregrin.llm import common
+
+    with common.scratch(spark):
+        t = common.staged(spark.range(5).toDF("id"), "x")
+        assert t.count() == 5
+    assert not os.path.exists(t._peregrin_path.removeprefix("file://"))
+    t = common.staged(spark.range(5).toDF("id"), "x")
+    common.discard(t)
+    assert not os.path.exists(t._peregrin_path.removeprefix("file://"))
