@@ -38,9 +38,9 @@ def displacement(d: DataFrame) -> DataFrame:
 
 def measures(d: DataFrame) -> DataFrame:
     """(measure, x): displacement_m, duration_min, flight_m, speed_kmh, for the distribution charts."""
-    e, s = displacement(d), steps(d).where("dt > 0")
-    rows = [e.select(F.lit("displacement_m").alias("measure"), F.col("displacement_m").alias("x")), e.select(F.lit("duration_min"), "duration_min"), s.select(F.lit("flight_m"), "dist_m"), s.select(F.lit("speed_kmh"), "speed_kmh")]
-    out = rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+    rows = lambda t, **of: t.select(F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(c).alias("x")) for k, c in of.items()])).alias("r")).select("r.*")
+    ends = rows(displacement(d), displacement_m="displacement_m", duration_min="duration_min")
+    out = ends.union(rows(steps(d).where("dt > 0"), flight_m="dist_m", speed_kmh="speed_kmh"))
     return out.where(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf")))
 
 

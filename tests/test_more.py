@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from peregrin.functions import geo
 from peregrin.functions.ranks import numbered, quantiles
 from peregrin.operators import clean, cluster, ctqw, diffusion, grid, motion, roads
+from peregrin.operators.simplify import key_points
 from peregrin.plans import queries
 from peregrin.plans.adapter import points
 from peregrin.sources import fixes
@@ -246,3 +247,32 @@ def test_inertia_of_all_numbers_of_clusters():
 
 def test_trajectories_of_the_tables_have_ids(spark):
     assert points(spark, SF).where("id is null").count() == 0 and motion.summary(points(spark, SF)).count() > 0
+
+
+def test_boxes_and_swaps(spark):
+    d = spark.createDataFrame([(1, 0, 0, 113.0, 22.0), (1, 1, 1, 115.0, 23.0), (1, 2, 2, 115.1, 22.5), (1, 3, 3, 114.0, None)], FIX)
+    assert sorted(r.seq for r in clean.fixed_bbox(d).collect()) == [0, 1]
+    both = spark.createDataFrame([(1, 0, 0, 95.0, 114.0)], FIX)  # neither axis can be a latitude
+    assert [(r.lon, r.lat) for r in clean.swap_repair(both).collect()] == [(95.0, 114.0)]
+    assert [(r.lon, r.lat) for r in clean.swap_repair(both, strict=False).collect()] == [(114.0, 95.0)]
+    assert clean.auto_bbox(d.where("false")).count() == 0
+
+
+def test_mercator_of_known_points(spark):
+    x, y = geo.mercator("lon", "lat")
+    r = spark.createDataFrame([(180.0, 85.0511287798066), (0.0, 0.0)], "lon double, lat double").select(x.alias("x"), y.alias("y")).collect()
+    assert (r[0].x, r[0].y) == pytest.approx((20037508.342789244, 20037508.342789244), abs=1e-3) and (r[1].x, r[1].y) == pytest.approx((0, 0), abs=1e-8)
+
+
+def test_simplified_line_stays_within_the_tolerance(spark):
+    """Every dropped point lies within the tolerance of the line between its kept neighbours, before spacing."""
+    r = np.random.default_rng(6)
+    lon, lat = 12 + np.cumsum(r.normal(size=300)) * 2e-4, 42 + np.cumsum(r.normal(size=300)) * 2e-4
+    x, y = 6378137.0 * np.radians(lon), 6378137.0 * np.log(np.tan(np.pi / 4 + np.radians(lat) / 2))
+    at = key_points(x, y, 40.0)
+    assert at[0] == 0 and at[-1] == 299 and len(at) < 300
+    for a, b in zip(at, at[1:], strict=False):
+        dx, dy = x[b] - x[a], y[b] - y[a]
+        for i in range(a + 1, b):
+            u = np.clip(((x[i] - x[a]) * dx + (y[i] - y[a]) * dy) / (dx * dx + dy * dy), 0, 1)
+            assert np.hypot(x[i] - x[a] - u * dx, y[i] - y[a] - u * dy) <= 40.0
