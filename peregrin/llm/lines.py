@@ -151,4 +151,30 @@ def op3_deletion_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = repeated_lines(docs)
     out = docs.select(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")).join(flags, ["doc_id", "t"], "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return out.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    return out.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), F.array_join(removed, ",").alias("removed"))
+
+
+#: Lines within one edit agree in a half; what is left is one edit if, after the common start, the rest agrees less a character on either side or both.
+OP3_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), occ AS (
+  SELECT * FROM (SELECT doc_id, unnest(range(len(parts))) AS line_no, unnest(parts) AS line FROM docs) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), known AS (
+  SELECT line, min(row(doc_id, line_no)) AS first FROM occ GROUP BY line
+), long AS (
+  SELECT line, first, length(line) AS len FROM known WHERE length(line) >= 24
+), halves AS (
+  SELECT line, first, len, n, unnest([left(line, (n // 2)::BIGINT) || chr(10) || 'left', right(line, (n - n // 2)::BIGINT) || chr(10) || 'right']) AS half FROM (SELECT *, unnest([len, len - 1]) AS n FROM long)
+), pairs AS (
+  SELECT DISTINCT a.line AS earlier, b.line AS later FROM halves a JOIN halves b ON a.n = b.n AND a.half = b.half AND a.first < b.first WHERE a.n = least(a.len, b.len)
+), near AS (
+  SELECT DISTINCT later AS line FROM pairs WHERE len(list_filter(range(least(length(earlier), length(later)) + 1), lambda i: left(earlier, i) = left(later, i) AND (
+    substr(earlier, i + 2) = substr(later, i + 2) OR substr(earlier, i + 2) = substr(later, i + 1) OR substr(earlier, i + 1) = substr(later, i + 2)))) > 0
+), judged AS (
+  SELECT doc_id, line_no, row(doc_id, line_no) > first OR near.line IS NOT NULL AS gone FROM occ JOIN known USING (line) LEFT JOIN near USING (line)
+), flags AS (
+  SELECT doc_id, count(*) AS n_lines, coalesce(list(line_no ORDER BY line_no) FILTER (WHERE gone), []) AS removed FROM judged GROUP BY doc_id
+)
+SELECT docs.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, len(coalesce(removed, []))::BIGINT AS n_removed, array_to_string(coalesce(removed, []), ',') AS removed FROM docs LEFT JOIN flags USING (doc_id)
+"""

@@ -218,3 +218,28 @@ def near_duplicates(docs: DataFrame, percent: int = 85, miss: float = 1e-7) -> D
 
 def op9_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 85)
+
+
+#: Whole sets, joined by shingle; one of equal sets stands for all.
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END)) AS s FROM w
+), classed AS (
+  SELECT doc_id, len(s) AS n, min(doc_id) OVER (PARTITION BY s) AS v, s FROM sets
+), members AS (
+  SELECT doc_id AS v, n, md5_number(unnest(s)) AS h FROM classed WHERE doc_id = v
+), links AS (
+  SELECT a.v AS a, b.v AS b FROM members a JOIN members b ON a.h = b.h AND a.v < b.v GROUP BY a.v, b.v, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT DISTINCT v, v AS r FROM members
+  UNION SELECT reach.v, e.b FROM reach JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) e ON e.a = reach.r
+), least AS (
+  SELECT v, min(r) AS component FROM reach GROUP BY v
+), found AS (
+  SELECT doc_id, n, CASE WHEN n = 0 THEN doc_id ELSE component END AS component_id FROM classed LEFT JOIN least USING (v)
+)
+SELECT doc_id, n::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM found
+"""

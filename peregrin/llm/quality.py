@@ -109,4 +109,51 @@ def quality(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_word: fl
 
 def op7_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+    return q.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *[F.round(c, 9).alias(c) for c in ("class_distance", "word_distance")])
+
+
+#: Words by position, bins a row each; a distance from shares of bins.
+OP7_SQL = (
+    r"""
+WITH common(lang, i, word) AS (VALUES """ + ", ".join(f"('{lang}', {i}, '{w}')" for lang, words in COMMON.items() for i, w in enumerate(words)) + r"""), forms AS (
+  SELECT DISTINCT lang, i, unnest([word, upper(left(word, 1)) || substr(word, 2), upper(word)]) AS form FROM common
+), d AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS chars FROM documents
+), w AS (
+  SELECT doc_id, lang, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d
+), windows AS (
+  SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS three FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, three) AS k FROM windows) WHERE k > 1
+), again AS (
+  SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM twice) GROUP BY doc_id
+), base AS (
+  SELECT d.doc_id, d.lang, len(words) AS n_words, length(chars) AS word_chars, length(regexp_replace(chars, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words
+  FROM d JOIN w USING (doc_id) LEFT JOIN again USING (doc_id)
+), failed AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base
+), kinds AS (
+  SELECT doc_id, lang, 'class' AS of, unnest(range(7)) AS i, unnest(counts || [length(chars) - list_sum(counts)::BIGINT]) AS n FROM (
+    SELECT doc_id, lang, chars, list_transform(['[^a-z]+', '[^A-Z]+', '[^0-9]+', '[^.,;:!?''"()\-]+', '[^#*$%&|<>]+', '[\x00-\x7F]+'], lambda c: length(regexp_replace(chars, c, '', 'g'))) AS counts FROM d)
+), named AS (
+  SELECT w.doc_id, f.i, count(*) AS n FROM (SELECT doc_id, lang, unnest(words) AS word FROM w) w JOIN forms f ON f.lang = w.lang AND f.form = w.word GROUP BY w.doc_id, f.i
+), bins AS (
+  SELECT doc_id, lang, of, i, n FROM kinds
+  UNION ALL SELECT b.doc_id, b.lang, 'word', c.i, coalesce(n.n, 0) FROM base b JOIN common c USING (lang) LEFT JOIN named n ON n.doc_id = b.doc_id AND n.i = c.i
+  UNION ALL SELECT b.doc_id, b.lang, 'word', 24, any_value(b.n_words) - coalesce(sum(n.n), 0) FROM base b LEFT JOIN named n USING (doc_id) GROUP BY b.doc_id, b.lang
+), reference AS (
+  SELECT bins.lang, of, i, sum(n) AS n FROM bins JOIN failed USING (doc_id) WHERE NOT base_failed AND bins.lang IN (SELECT lang FROM common) GROUP BY bins.lang, of, i
+), shares AS (
+  SELECT b.doc_id, b.of, b.n / nullif(sum(b.n) OVER (PARTITION BY b.doc_id, b.of), 0) AS p, r.n / nullif(sum(r.n) OVER (PARTITION BY b.doc_id, b.of), 0) AS q FROM bins b JOIN reference r USING (lang, of, i)
+), mixed AS (
+  SELECT doc_id, of, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END)) / 2) AS distance
+  FROM shares WHERE p IS NOT NULL AND q IS NOT NULL GROUP BY doc_id, of
+), far AS (
+  SELECT f.*, CASE WHEN word_chars >= 300 THEN c.distance END AS class_distance, CASE WHEN n_words >= 80 THEN v.distance END AS word_distance
+  FROM failed f LEFT JOIN mixed c ON c.doc_id = f.doc_id AND c.of = 'class' LEFT JOIN mixed v ON v.doc_id = f.doc_id AND v.of = 'word'
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(class_distance, 0) <= 0.3 AND coalesce(word_distance, 0) <= 0.3 AS kept, round(class_distance, 9) AS class_distance, round(word_distance, 9) AS word_distance FROM far
+"""
+)

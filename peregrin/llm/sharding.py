@@ -61,3 +61,22 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, key: str = "doc_id", text
 def op4_byte_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_by_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"), 8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: CRC-32 by its polynomial, a byte at a time; shards by where the middle of a document lies.
+OP4_SQL = r"""
+WITH steps AS (
+  SELECT range AS i, list_reduce(range(8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, range) AS v FROM range(256)
+), crc AS (
+  SELECT list(v ORDER BY i) AS t FROM steps
+), bytes AS (
+  SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents
+), sized AS (
+  SELECT doc_id, len(b) + 1 AS size, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS text_crc32 FROM bytes, crc
+), placed AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id) AS upto, sum(size) OVER () AS total FROM sized
+), sharded AS (
+  SELECT *, ((2 * upto - size) * 8 // (2 * total))::INTEGER AS shard FROM placed
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, NULL::INTEGER AS grown_shard FROM sharded
+"""

@@ -550,3 +550,32 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 def op5_lcp_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = drop_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every string of 100 bytes, ranked by its 128-bit digest.
+OP5_SQL = r"""
+WITH raw AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS data FROM documents
+), d AS (
+  SELECT doc_id, hex(data) AS x, octet_length(data) AS n FROM raw
+), strings AS (
+  SELECT doc_id, pos, md5_number(substr(x, 2 * pos + 1, 200)) AS h FROM (SELECT doc_id, x, unnest(range(n - 99)) AS pos FROM d WHERE n >= 100)
+), ranked AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY h ORDER BY doc_id, pos) AS nth FROM strings
+), later AS (
+  SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM ranked WHERE nth > 1
+), numbered AS (
+  SELECT doc_id, pos, sum(CASE WHEN before IS NULL OR pos > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM later
+), spans AS (
+  SELECT doc_id, span, min(pos) AS s, max(pos) + 100 AS e FROM numbered GROUP BY doc_id, span
+), gaps AS (
+  SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS s, s AS e FROM spans
+  UNION ALL SELECT d.doc_id, coalesce(max(spans.e), 0), any_value(d.n) FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id
+), kept AS (
+  SELECT doc_id, string_agg(substr(x, 2 * s + 1, 2 * (e - s)), '' ORDER BY s) AS k FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+), counted AS (
+  SELECT doc_id, sum(e - s) AS removed, count(*) AS n_spans FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN counted USING (doc_id)
+"""

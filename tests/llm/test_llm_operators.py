@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from peregrin.llm import chat, decontaminate, lines, minhash, pieces, quality, sharding, suffixes, token_files, warc
+from peregrin.llm import chat, decontaminate, entry, lines, minhash, pieces, quality, sharding, suffixes, token_files, warc
 
 tokens = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, t long, v long, key string, row int, pos int, fp binary, shard int"
@@ -610,3 +610,21 @@ def test_scratch_is_removed(spark, tmp_path):
     t = common.staged(spark.range(5).toDF("id"), "x")
     common.discard(t)
     assert not os.path.exists(t._peregrin_path.removeprefix("file://"))
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+def test_same_as_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for table in ("documents", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    df = entry.queries()[name](spark, SF)
+    cols = sorted(df.columns)
+    got = sorted((tuple(r) for r in df.select(*cols).collect()), key=str)
+    said = con.execute(entry.oracle_sql()[name])
+    names = [d[0] for d in said.description]
+    assert sorted(names) == cols
+    assert got == sorted((tuple(r[names.index(c)] for c in cols) for r in said.fetchall()), key=str)
