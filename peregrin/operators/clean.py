@@ -194,7 +194,7 @@ def clean_segments(d: DataFrame, gap_s: int = 1800, hours: float = 3, limit_kmh:
 
 def some_ids(d: DataFrame, n: int = 50, seed: int = 42, key: str = "id") -> DataFrame:
     """The rows of n ids, chosen by a seeded hash: the preview of individual curves (fewer ids are all kept)."""
-    ids = d.where(F.col(key).isNotNull()).select(key).distinct().orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    ids = d.where(F.col(key).isNotNull()).select(key).distinct().orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
     return d.join(F.broadcast(ids), key, "left_semi")  # n rows
 
 

@@ -139,6 +139,54 @@ tgt AS (SELECT -1 AS target, mx AS tx, my AS ty FROM ext UNION ALL SELECT 3 * i
 deg AS (SELECT a AS node, count(*) AS degree FROM both_ WHERE a IN (SELECT node FROM big) GROUP BY a),
 near AS (SELECT node_id, row_number() OVER (PARTITION BY target ORDER BY pow(x - tx, 2) + pow(y - ty, 2), node_id) AS k FROM xy, tgt)"""
 
+
+def _sides(source: str) -> str:
+    """Of each point the lengths of the sides to its neighbours, and of the third side."""
+    return f"SELECT *, {H('p_lon', 'p_lat', 'lon', 'lat')} AS a, {H('lon', 'lat', 'n_lon', 'n_lat')} AS b, {H('p_lon', 'p_lat', 'n_lon', 'n_lat')} AS c FROM {source}"
+
+
+_DRIFT = f"""(coalesce(CASE WHEN t > p_t THEN a / (t - p_t) * 3.6e0 END > 120 AND CASE WHEN n_t > t THEN b / (n_t - t) * 3.6e0 END > 120 AND CASE WHEN n_t > p_t THEN c / (n_t - p_t) * 3.6e0 END <= 120, false)
+  OR coalesce(a > 2000 AND b > 2000 AND c <= 2000, false) OR coalesce(CASE WHEN a > 0 AND b > 0 THEN (pow(a, 2) + pow(b, 2) - pow(c, 2)) / (2 * a * b) > {_d(0.8660254037844387)} END, false))"""
+_SAME = "coalesce(p_lon = lon AND p_lat = lat AND n_lon = lon AND n_lat = lat, false)"
+
+
+def _simplified(source: str) -> tuple[str, ...]:
+    """Relation smp: stretches are halved at their farthest point while it lies over 20 m off; then 30 m from the last point kept."""
+    return (
+        f"mrc AS (SELECT *, 6378137e0 * radians(lon) AS x, 6378137e0 * ln(tan(pi() / 4 + radians(lat) / 2)) AS y, row_number() OVER (PARTITION BY id ORDER BY t, seq) AS rn, count(*) OVER (PARTITION BY id) AS n FROM {source})",
+        """dgp AS (SELECT id, CAST(1 AS BIGINT) AS i, n AS j FROM mrc WHERE rn = 1 AND n > 2
+  UNION ALL SELECT id, unnest([i, -top[2]]), unnest([-top[2], j]) FROM (SELECT id, i, j, max(row(sqrt(pow(px - u * dx, 2) + pow(py - u * dy, 2)), -rn)) AS top FROM (
+    SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN greatest(0e0, least(1e0, (px * dx + py * dy) / (dx * dx + dy * dy))) ELSE 0e0 END AS u FROM (
+      SELECT s.id, s.i, s.j, p.rn, q.x - o.x AS dx, q.y - o.y AS dy, p.x - o.x AS px, p.y - o.y AS py FROM dgp s
+      JOIN mrc p ON p.id = s.id AND p.rn > s.i AND p.rn < s.j JOIN mrc o ON o.id = s.id AND o.rn = s.i JOIN mrc q ON q.id = s.id AND q.rn = s.j)) GROUP BY id, i, j) WHERE top[1] > 20)""",
+        "kpt AS (SELECT DISTINCT id, unnest([i, j]) AS rn FROM dgp)",
+        "kps AS (SELECT id, seq, t, lon, lat FROM mrc JOIN kpt USING (id, rn))",
+        *_fold_of("kps", f"{_FAR} >= 30"),
+        f"smp AS (SELECT {FIX} FROM f WHERE kept UNION ALL SELECT {FIX} FROM mrc WHERE n <= 2)",
+    )
+
+
+def _ellipsoid(rounds: int = 8) -> tuple[str, ...]:
+    """Relation ell: the inverse problem on WGS-84 by Vincenty's series, as many rounds of its iteration; steps are short, so few do."""
+    f = "(1 / 298.257223563e0)"
+    first = f"ve AS (SELECT id, seq, p_lon, p_lat, lon, lat, sin(v1) AS s1, cos(v1) AS c1, sin(v2) AS s2, cos(v2) AS c2, radians(lon - p_lon) AS d FROM (SELECT *, atan((1 - {f}) * tan(radians(p_lat))) AS v1, atan((1 - {f}) * tan(radians(lat))) AS v2 FROM prv WHERE p_t IS NOT NULL))"
+    arc = lambda source: f"SELECT *, CASE WHEN ca > 0 THEN cs - 2 * s1 * s2 / ca ELSE 0 END AS cm FROM (SELECT *, 1 - sa * sa AS ca, atan2(ss, cs) AS g FROM (SELECT *, CASE WHEN ss > 0 THEN c1 * c2 * sin(l) / ss ELSE 0 END AS sa FROM (SELECT *, sqrt(pow(c2 * sin(l), 2) + pow(c1 * s2 - s1 * c2 * cos(l), 2)) AS ss, s1 * s2 + c1 * c2 * cos(l) AS cs FROM {source})))"
+    own = "id, seq, p_lon, p_lat, lon, lat, s1, c1, s2, c2, d"
+    rows = [first, "v0 AS (SELECT *, d AS l FROM ve)"]
+    for k in range(rounds):
+        rows.append(f"v{k + 1} AS (SELECT {own}, d + (1 - h) * {f} * sa * (g + h * ss * (cm + h * cs * (2 * cm * cm - 1))) AS l FROM (SELECT *, {f} / 16 * ca * (4 + {f} * (4 - 3 * ca)) AS h FROM ({arc(f'v{k}')})))")
+    b = f"(6378137e0 * (1 - {f}))"
+    rows.append(
+        f"""ell AS (SELECT *, CASE WHEN ss = 0 THEN 0e0 ELSE {b} * (1 + k / 16384 * (4096 + k * (-768 + k * (320 - 175 * k)))) * (g - w * ss * (cm + w / 4 * (cs * (2 * cm * cm - 1) - w / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))) END AS metres
+  FROM (SELECT *, k / 1024 * (256 + k * (-128 + k * (74 - 47 * k))) AS w FROM (SELECT *, ca * (6378137e0 * 6378137e0 - {b} * {b}) / ({b} * {b}) AS k FROM ({arc(f'v{rounds}')}))))"""
+    )
+    return tuple(rows)
+
+
+def _neighbours(source: str, name: str) -> str:
+    return PREV.replace("prv AS", f"{name} AS").replace("FROM pts", f"FROM {source}")
+
+
 SQL = {
     "traj_points": _with(f"SELECT {FIX} FROM pts"),
     "step_speed": _with("SELECT id, seq, dt, round(dist_m, 3) AS dist_m, round(dist_m / dt * 3.6e0, 3) AS speed_kmh FROM stp WHERE dt > 0", PREV, STEP),
@@ -149,13 +197,8 @@ SQL = {
     "null_and_range_filter": _with(f"SELECT {FIX} FROM pts WHERE seq % 7 <> 0 AND seq % 11 <> 0"),
     "id_reindex_disgap": _with(f"SELECT id, seq, CAST(sum(CASE WHEN {H('p_lon', 'p_lat', 'lon', 'lat')} > 500 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS INTEGER) AS part FROM prv", PREV),
     "id_reindex_timegap": _with("SELECT seg_id, seq, dense_rank() OVER (ORDER BY seg_id) AS new_id FROM seg", PREV, SEG),
-    "drift_clean": _with(
-        f"""SELECT {FIX} FROM (SELECT *, {H("p_lon", "p_lat", "lon", "lat")} AS a, {H("lon", "lat", "n_lon", "n_lat")} AS b, {H("p_lon", "p_lat", "n_lon", "n_lat")} AS c FROM prv) WHERE NOT (
-  coalesce(CASE WHEN t > p_t THEN a / (t - p_t) * 3.6e0 END > 120 AND CASE WHEN n_t > t THEN b / (n_t - t) * 3.6e0 END > 120 AND CASE WHEN n_t > p_t THEN c / (n_t - p_t) * 3.6e0 END <= 120, false)
-  OR coalesce(a > 2000 AND b > 2000 AND c <= 2000, false) OR coalesce(CASE WHEN a > 0 AND b > 0 THEN (pow(a, 2) + pow(b, 2) - pow(c, 2)) / (2 * a * b) > {_d(0.8660254037844387)} END, false))""",
-        PREV,
-    ),
-    "redundant_clean": _with(f"SELECT {FIX} FROM prv WHERE NOT coalesce(p_lon = lon AND p_lat = lat AND n_lon = lon AND n_lat = lat, false)", PREV),
+    "drift_clean": _with(f"SELECT {FIX} FROM ({_sides('prv')}) WHERE NOT {_DRIFT}", PREV),
+    "redundant_clean": _with(f"SELECT {FIX} FROM prv WHERE NOT {_SAME}", PREV),
     "speed_denoise_a": _fold(_REACH),
     "speed_denoise_b": _fold(f"CASE WHEN o.lon = f.kx AND o.lat = f.ky THEN false ELSE {_REACH} END"),
     "duration_filter": _with("SELECT seg_id, seq, t FROM (SELECT *, max(t) OVER (PARTITION BY seg_id) - min(t) OVER (PARTITION BY seg_id) AS s FROM seg) WHERE s <= 1800", PREV, SEG),
@@ -233,4 +276,25 @@ FROM s3 WINDOW w AS (PARTITION BY seg_id ORDER BY t, seq ROWS BETWEEN 1 PRECEDIN
         "hop AS (SELECT node AS start, node, CAST(0 AS BIGINT) AS d FROM sta UNION ALL SELECT h.start, e.b, min(h.d) + 1 FROM hop h JOIN both_ e ON e.a = h.node WHERE NOT EXISTS (SELECT 1 FROM recurring.hop r WHERE r.start = h.start AND r.node = e.b) GROUP BY h.start, e.b)",
         recursive=True,
     ),
+    "curve_preview": _with(
+        "SELECT key AS id, lag, round(msd, 3) AS msd, round(alpha, 6) AS alpha FROM crv WHERE key IN (SELECT key FROM (SELECT DISTINCT key FROM crv) ORDER BY md5('42:' || key), key LIMIT 50)",
+        IND,
+        _alpha("ind", "id", 5, "crv"),
+    ),
+    "dp_simplify": _with(f"SELECT {FIX} FROM smp", *_simplified("pts"), recursive=True),
+    "geodesic_vs_haversine": _with(f"SELECT id, seq, round({H('p_lon', 'p_lat', 'lon', 'lat')}, 3) AS sphere_m, round(metres, 3) AS ellipsoid_m FROM ell", PREV, *_ellipsoid()),
+    "process_chain": _with(
+        f"SELECT {FIX}, dense_rank() OVER (ORDER BY id) AS new_id FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM smp) WHERE n >= 5",
+        PREV,
+        SEG,
+        "q0 AS (SELECT seg_id AS id, seq, t, lon, lat FROM seg)",
+        _neighbours("q0", "q1"),
+        f"q2 AS (SELECT id || '_' || sum(CASE WHEN {H('p_lon', 'p_lat', 'lon', 'lat')} > 500 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS id, seq, t, lon, lat FROM q1)",
+        _neighbours("q2", "q3"),
+        f"q4 AS (SELECT {FIX} FROM ({_sides('q3')}) WHERE NOT {_DRIFT})",
+        _neighbours("q4", "q5"),
+        f"q6 AS (SELECT {FIX} FROM q5 WHERE NOT {_SAME})",
+        *_simplified("q6"),
+        recursive=True,
+    ),
 }
