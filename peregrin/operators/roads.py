@@ -69,17 +69,24 @@ def _in_cells(s: DataFrame, cell: float) -> DataFrame:
     return c.withColumn("cy", F.explode(F.sequence(F.floor((F.least(a, b) - margin) / cell), F.floor((F.greatest(a, b) + margin) / cell))))
 
 
+ENDS = ["x1", "y1", "x2", "y2"]
+
+
 def node_lines(lines: DataFrame, cell: float = 200.0) -> DataFrame:
     """(points): lines cut where they meet, each piece once whatever its direction (points rounded to 4 places).
 
     Lines are cut at their ends and wherever segments touch, cross or begin and end to overlap, but for neighbours of one line in
-    their common point. Vertices that nothing touches stay inside a piece.
+    their common point. Vertices that nothing touches stay inside a piece. Segments that many lines share, in either direction, meet
+    the others once; how often they occur says whether more than one line's bend is at an end.
     """
-    s = segments(lines)
-    sid = F.struct("line", "pos")
-    c = _in_cells(s, cell).withColumn("sid", sid)
-    o = c.select("cx", "cy", F.col("sid").alias("oid"), *[F.col(k).alias(f"o{k}") for k in ("x1", "y1", "x2", "y2")])
-    j = c.join(o, ["cx", "cy"]).where("sid <> oid").dropDuplicates(["sid", "oid"])
+    a, b = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
+    s = segments(lines).select("line", "pos", (a > b).alias("back"), F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    s = s.select("line", "pos", "back", *[F.col(k).alias(n) for k, n in zip(("a.x", "a.y", "b.x", "b.y"), ENDS, strict=True)])
+    own = cut(s.groupBy(*ENDS).agg(F.count("*").alias("n")))
+    c = _in_cells(own.drop("n"), cell)
+    o = c.select("cx", "cy", *[F.col(k).alias(f"o{k}") for k in ENDS])
+    is_at = lambda x, y, u, v: (F.col(x) == F.col(u)) & (F.col(y) == F.col(v))
+    j = c.join(o, ["cx", "cy"]).where(~(is_at("x1", "y1", "ox1", "oy1") & is_at("x2", "y2", "ox2", "oy2")))
     dx, dy, ex, ey = (F.col(a) - F.col(b) for a, b in (("x2", "x1"), ("y2", "y1"), ("ox2", "ox1"), ("oy2", "oy1")))
     det = dx * ey - dy * ex
     t = ((F.col("ox1") - F.col("x1")) * ey - (F.col("oy1") - F.col("y1")) * ex) / det
@@ -90,14 +97,16 @@ def node_lines(lines: DataFrame, cell: float = 200.0) -> DataFrame:
     on = lambda x, y: F.when(F.abs((F.col(x) - F.col("x1")) * dy - (F.col(y) - F.col("y1")) * dx) <= 1e-6 * F.sqrt(long2), ((F.col(x) - F.col("x1")) * dx + (F.col(y) - F.col("y1")) * dy) / long2)
     line_up = F.when(F.abs(det) <= eps, F.filter(F.array(on("ox1", "oy1"), on("ox2", "oy2")), lambda v: v.isNotNull()))
     snap = lambda v: F.when(v < eps, 0.0).when(v > 1 - eps, 1.0).otherwise(v)
-    met = j.select("sid", "oid", F.explode(F.coalesce(cross, line_up)).alias("t")).where(f"t >= -{eps} and t <= 1 + {eps}").withColumn("t", snap(F.col("t")))
-    gap = F.col("oid.pos") - F.col("sid.pos")
-    met = met.where((F.col("sid.line") != F.col("oid.line")) | ~(((gap == 1) & (F.col("t") == 1)) | ((gap == -1) & (F.col("t") == 0))))
-    cuts = met.select("sid", "t", F.lit(1).alias("node"))
-    last = F.max("pos").over(Window.partitionBy("line"))
-    ends = s.withColumn("last", last).select(sid.alias("sid"), F.explode(F.array(F.struct(F.lit(0.0).alias("t"), (F.col("pos") == 0).cast("int").alias("node")), F.struct(F.lit(1.0).alias("t"), (F.col("pos") == F.col("last")).cast("int").alias("node")))).alias("e")).select("sid", "e.*")
-    pts = ends.unionByName(cuts).join(s.select(sid.alias("sid"), "x1", "y1", "x2", "y2"), "sid")
-    pts = pts.select("sid.line", "sid.pos", "t", "node", F.round(F.col("x1") + F.col("t") * dx, 4).alias("x"), F.round(F.col("y1") + F.col("t") * dy, 4).alias("y"))
+    met = j.withColumn("t", F.explode(F.coalesce(cross, line_up))).where(f"t >= -{eps} and t <= 1 + {eps}").withColumn("t", snap(F.col("t")))
+    ends_at = lambda x, y: is_at(x, y, "ox1", "oy1") | is_at(x, y, "ox2", "oy2")
+    met = met.where(~F.when(F.col("t") == 0, ends_at("x1", "y1")).when(F.col("t") == 1, ends_at("x2", "y2")).otherwise(False))  # common ends are counted below
+    place = [F.when(F.col("t") == 1, F.col(f"{c}2")).otherwise(F.col(f"{c}1") + F.col("t") * d).alias(c) for c, d in (("x", dx), ("y", dy))]
+    cuts = met.select(*ENDS, "t", *place, F.lit(1).alias("node"))
+    ends = own.select(*ENDS, "n", F.explode(F.array(*[F.struct(F.lit(float(k - 1)).alias("t"), F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in (1, 2)])).alias("e")).select(*ENDS, "n", "e.*")
+    shared = ends.groupBy("x", "y").agg(F.sum("n").alias("k")).where("k > 2")  # a bend has two
+    ends = ends.join(shared, ["x", "y"], "left").select(*ENDS, "t", "x", "y", F.col("k").isNotNull().cast("int").alias("node"))
+    pts = ends.unionByName(cuts).withColumns({k: F.round(k, 4) for k in ("x", "y")}).groupBy(*ENDS, "x", "y").agg(F.min("t").alias("t"), F.max("node").alias("node"))
+    pts = s.join(pts, ENDS).select("line", "pos", F.when(F.col("back"), -F.col("t")).otherwise(F.col("t")).alias("t"), "x", "y", "node")
     w = Window.partitionBy("line").orderBy("pos", "t")
     new = F.coalesce((F.lag("x").over(w) != F.col("x")) | (F.lag("y").over(w) != F.col("y")), F.lit(True))
     pts = pts.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -1,6 +1,10 @@
 """Published curves, roads with bends, readers and sinks of mixed files, exact ranks, whole chains."""
 
 import csv
+import itertools
+import threading
+from collections import Counter
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -17,6 +21,7 @@ from peregrin.sources import fixes
 from peregrin.sources.shapefile import Shapefile
 
 SF = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.1"
 FIX = "id long, seq long, t long, lon double, lat double"
 #: Fixed values of the published curves: transition (lag, alpha), slope and coefficient and R2 of the power law.
 PUBLISHED = {1: (780, 0.931475, 1.197902, 2285.7197, 0.954402), 2: (780, 0.897472, 1.369371, 2648.4395, 0.963785), 3: (900, 0.963911, 1.382864, 5449.0016, 0.953032)}
@@ -80,6 +85,56 @@ def test_long_diagonal_meets_all_it_crosses(spark):
     assert len(got) == 3 * len({tuple(x[0]) for x in lines[1:]}) + 1
 
 
+@contextmanager
+def within(spark, seconds):
+    """Jobs are cancelled, and so fail, after that time."""
+    timer = threading.Timer(seconds, spark.sparkContext.cancelAllJobs)
+    timer.start()
+    try:
+        yield
+    finally:
+        timer.cancel()
+
+
+def test_copies_of_a_line_do_not_meet_in_pairs(spark):
+    lines = [[(0, 0), (100, 0), (100, 100)], [(100, 100), (100, 0), (0, 0)], [(50, -50), (50, 50)]]
+    many = shapes(spark, *lines).crossJoin(spark.range(20_000)).select("parts")
+    with within(spark, 100):
+        got = ways(roads.node_lines(roads.lines_of(many)))
+    assert got == ways(roads.node_lines(roads.lines_of(shapes(spark, *lines)))) == {((0, 0), (50, 0)), ((50, 0), (100, 0)), ((100, 0), (100, 100)), ((50, -50), (50, 0)), ((50, 0), (50, 50))}
+
+
+def lattice_edges(walks):
+    """Ends (lesser first) and length of the edges that walks along a lattice of 100 m give, in plain Python."""
+    walks = [[p for i, p in enumerate(w) if not i or w[i - 1] != p] for w in walks]
+    ends = Counter(p for w in walks for s in itertools.pairwise(w) for p in s)
+    pieces = set()
+    for w in walks:
+        assert all(abs(a - c) + abs(b - d) == 100 for (a, b), (c, d) in itertools.pairwise(w))
+        cuts = [0, *(i for i in range(1, len(w) - 1) if ends[w[i]] > 2), len(w) - 1]
+        pieces |= {min(x, x[::-1]) for i, j in itertools.pairwise(cuts) if i < j for x in [tuple(w[i : j + 1])]}
+    edges = []
+    for x in pieces:
+        n = -(-(len(x) - 1) * 100 // 150)
+        at = [(len(x) - 1) * k / n for k in range(n + 1)]
+        spots = [x[-1] if k == n else tuple(a + (b - a) * (v % 1) for a, b in zip(x[int(v)], x[int(v) + 1], strict=True)) for k, v in enumerate(at)]
+        edges += [(*sorted(tuple(round(c, 4) for c in p) for p in (a, b)), 100.0 * (len(x) - 1) if n == 1 else float(np.hypot(b[0] - a[0], b[1] - a[1]))) for a, b in itertools.pairwise(spots)]
+    return [e for e in edges if e[2] > 0]
+
+
+@pytest.fixture(scope="module")
+def walked(spark):
+    c = grid.cells(points(spark, LARGER), 1600.0).select("id", "t", "seq", "loncol", "latcol").collect()
+    return lattice_edges([[(100.0 * r.loncol, 100.0 * r.latcol) for r in g] for _, g in itertools.groupby(sorted(c), lambda r: r.id)])
+
+
+def test_road_network_edges_of_many_walks(spark, walked):
+    with within(spark, 100):
+        got = queries.queries()["road_network_edges"](spark, LARGER).collect()
+    ids = {p: i for i, p in enumerate(sorted({p for e in walked for p in e[:2]}))}
+    assert sorted((*sorted((r.from_node, r.to_node)), r.length_m) for r in got) == sorted((ids[a], ids[b], round(m, 3)) for a, b, m in walked)
+
+
 def test_subdivision_goes_along_the_line(spark):
     lines = roads.lines_of(shapes(spark, [(0, 0), (300, 0), (300, 400)], [(0, 1), (0, 2)]))
     e = {(r.x1, r.y1, r.x2, r.y2): r.length_m for r in roads.subdivide(lines, 300).collect()}
