@@ -20,7 +20,8 @@ def lines_of(shapes: DataFrame) -> DataFrame:
     """(line, points) of every part of shapes (parts: array of arrays of points) that has two different points; repeated ones are passed over."""
     p = shapes.where("parts is not null").select(F.explode("parts").alias("points")).where("points is not null")
     p = p.select(F.filter("points", lambda q: q.isNotNull() & q["x"].isNotNull() & q["y"].isNotNull()).alias("points"))
-    p = p.select(F.filter("points", lambda q, i: (i == 0) | ~F.get("points", i - 1).eqNullSafe(q)).alias("points")).where("size(points) > 1")
+    beside = F.zip_with("points", F.concat(F.array(F.lit(None)), "points"), lambda q, before: F.struct(q.alias("q"), before.alias("before")))  # looking back by place would filter the line again for each point
+    p = p.select(F.transform(F.filter(beside, lambda z: z["q"].isNotNull() & ~z["before"].eqNullSafe(z["q"])), lambda z: z["q"]).alias("points")).where("size(points) > 1")
     return p.select(F.monotonically_increasing_id().alias("line"), "points")
 
 

@@ -135,6 +135,21 @@ def test_road_network_edges_of_many_walks(spark, walked):
     assert sorted((*sorted((r.from_node, r.to_node)), r.length_m) for r in got) == sorted((ids[a], ids[b], round(m, 3)) for a, b, m in walked)
 
 
+def test_road_network_nodes_of_many_walks(spark, walked):
+    with within(spark, 100):
+        got = queries.queries()["road_network_nodes"](spark, LARGER).collect()
+    assert sorted((r.node_id, r.x, r.y) for r in got) == [(i, *p) for i, p in enumerate(sorted({p for e in walked for p in e[:2]}))]
+
+
+def test_points_of_a_long_line(spark):
+    d = spark.range(1).select(F.expr("array(transform(sequence(0, 199999), i -> if(i % 5 = 4, null, struct(double(i div 2) as x, double(i % 3) as y)))) as parts"))
+    d = d.union(shapes(spark, [(1, 1), (1, 1)], [(1, 1), (1, 2), (1, 2), (1, 1)]))
+    want = [(float(i // 2), float(i % 3)) for i in range(200_000) if i % 5 != 4]
+    with within(spark, 100):
+        got = sorted((tuple(map(tuple, r.points)) for r in roads.lines_of(d).collect()), key=len)
+    assert got == [((1, 1), (1, 2), (1, 1)), tuple(p for i, p in enumerate(want) if not i or want[i - 1] != p)]
+
+
 def test_subdivision_goes_along_the_line(spark):
     lines = roads.lines_of(shapes(spark, [(0, 0), (300, 0), (300, 400)], [(0, 1), (0, 2)]))
     e = {(r.x1, r.y1, r.x2, r.y2): r.length_m for r in roads.subdivide(lines, 300).collect()}
